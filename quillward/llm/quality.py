@@ -2,9 +2,10 @@
 
 Two zstandard dictionaries are trained from bounded samples of good and of bad labelled
 texts. A text is cut into pieces of ``piece`` bytes (the whole text, so its length does not
-matter), every piece is compressed with each dictionary, and the normalised difference
-``(bad - good) / (bad + good)`` of the summed sizes goes through a logistic curve that was
-fitted on sampled texts outside the dictionaries and moved to the label share of the data.
+matter), every piece is compressed with each dictionary, and two normalised differences of the
+summed sizes, ``(bad - good) / (bad + good)`` and ``(good - raw) / (good + raw)``, go through
+a logistic curve that was fitted on sampled texts outside the dictionaries and moved to the
+label share of the data.
 
 Only labelled rows whose crc32(id as text) mod ``folds`` is not 0 are learned from, at
 most about ``per_label`` of each label (a documented bound, drawn by a hash of the id).
@@ -31,7 +32,7 @@ class CompressionModel:
         """share: of good labels in the data; the samples need not have it."""
         self.piece, self.level, self.share = piece, level, min(max(share, 1e-4), 1 - 1e-4)
         self.dicts: list[bytes] = []
-        self.slope = self.shift = 0.0
+        self.beta = np.zeros(4)
         if min(len(good), len(bad)) < 8:
             return
         for texts in (good, bad):
@@ -40,7 +41,7 @@ class CompressionModel:
                 self.dicts.append(zstandard.train_dictionary(size, parts).as_bytes())
             except zstandard.ZstdError:  # too little text to train on: the text itself serves
                 self.dicts.append(b"".join(parts)[-size:])
-        self.slope, self.shift = self.fit([self.gap(t) for t in good[1::2]], [self.gap(t) for t in bad[1::2]])
+        self.beta = self.fit([self.inputs(t) for t in good[1::2]], [self.inputs(t) for t in bad[1::2]])
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "tools"}
@@ -49,38 +50,44 @@ class CompressionModel:
         raw = text.encode("utf-8", "surrogatepass")
         return [raw[i : i + self.piece] for i in range(0, len(raw), self.piece)]
 
-    def gap(self, text: str) -> float:
-        """Normalised difference of compressed sizes; above 0 where the good dictionary fits better."""
+    def gaps(self, text: str) -> tuple[float, float]:
+        """Two normalised differences of compressed sizes: bad and good dictionary (above 0 where
+        the good one fits better), and how far the good one is from a text's own redundancy."""
         if not hasattr(self, "tools"):
             self.tools = []
             for d in self.dicts:
                 own = zstandard.ZstdCompressionDict(d)
                 own.precompute_compress(level=self.level)
                 self.tools.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False, write_checksum=False))
-        sizes = [0, 0]
+        sizes, raw = [0, 0], 0
         for part in self.pieces(text):
+            raw += len(part)
             for k, tool in enumerate(self.tools):
                 sizes[k] += len(tool.compress(part))
-        return (sizes[1] - sizes[0]) / max(1, sizes[0] + sizes[1])
+        return (sizes[1] - sizes[0]) / max(1, sizes[0] + sizes[1]), (sizes[0] - raw) / max(1, sizes[0] + raw)
 
-    def fit(self, good: list[float], bad: list[float]) -> tuple[float, float]:
-        """Logistic curve by Newton steps, both labels weighing the same, with a small ridge."""
-        x = np.array(good + bad)
+    def inputs(self, text: str) -> list[float]:
+        fit, dense = self.gaps(text)
+        return [fit, dense, dense * dense, 1.0]
+
+    def fit(self, good: list[list[float]], bad: list[list[float]]) -> np.ndarray:
+        """Logistic weights by damped Newton steps, both labels weighing the same, with a small ridge."""
+        m = np.array(good + bad)
         y = np.array([1.0] * len(good) + [0.0] * len(bad))
         w = np.where(y > 0, 0.5 / len(good), 0.5 / len(bad))
-        m = np.stack([x, np.ones_like(x)], 1)
-        beta = np.zeros(2)
-        for _ in range(60):
+        ridge = np.array([1e-6] * (m.shape[1] - 1) + [0.0])
+        beta = np.zeros(m.shape[1])
+        for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(m @ beta, -30, 30)))
-            grad = m.T @ (w * (y - p)) - np.array([1e-6, 0]) * beta
-            hess = m.T @ (m * (w * p * (1 - p))[:, None]) + np.diag([1e-6, 1e-9])
-            beta = beta + np.clip(np.linalg.solve(hess, grad), -50, 50)
-        return float(beta[0]), float(beta[1])
+            grad = m.T @ (w * (y - p)) - ridge * beta
+            hess = m.T @ (m * (w * p * (1 - p))[:, None]) + np.diag(ridge + 1e-7)
+            beta = beta + np.clip(np.linalg.solve(hess, grad), -5, 5)
+        return beta
 
     def score(self, text: str) -> float:
         if not text or not self.dicts:
             return round(self.share, 6)
-        z = self.slope * self.gap(text) + self.shift + math.log(self.share / (1 - self.share))
+        z = float(np.dot(self.beta, self.inputs(text))) + math.log(self.share / (1 - self.share))
         return round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 6)
 
 
@@ -98,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return CompressionModel([r["text"] for r in rows if r["label"] == 1], [r["text"] for r in rows if r["label"] == 0], share, size, piece, level)
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 500, folds: int = 5, size: int = 65536, piece: int = 2048, level: int = 3, threshold: float = 0.3) -> DataFrame:
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 500, folds: int = 5, size: int = 32768, piece: int = 512, level: int = 3, threshold: float = 0.3) -> DataFrame:
     """(id, held_out, score, predicted) for every row of docs."""
     common.ready(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, per_label, folds, size, piece, level))
