@@ -8,8 +8,10 @@ when ``100 * |A & B| >= percent * |A | B|``. The search is exact:
    often last. A partner must share ``T`` shingles, so DivideSkip's split of a query's
    lists into ``T - l`` long and ``n - T + l`` short ones makes every partner occur
    at least ``l`` times in the short lists, which are the first of that order.
-3. Short lists are dealt by shingle; each query heap-merges its own (MergeSkip with
-   bisect jumps) and keeps partners that occur ``l`` times.
+3. Short lists are dealt by shingle. A document with fewer than ``l`` shingles that any
+   other posts has no partner and goes; the lists are dealt again without it. Each query
+   then heap-merges its own lists (MergeSkip with bisect jumps) and keeps partners that
+   occur ``l`` times.
 4. A parity bitmap of each set bounds the symmetric difference from below and drops
    pairs that cannot link; what stays is probed by binary search in the long lists.
 5. A list longer than ``long_list`` is never paired out. Each of its members is
@@ -57,7 +59,7 @@ def both_need(n: int, m: int, percent: int) -> int:
 
 def least_hits(n: int) -> int:
     """How often a partner must occur in the short lists of a set of n."""
-    return 1 + n // 50
+    return 1 + n // 10
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -241,6 +243,28 @@ def _postings(width: int, text_col: str, often: np.ndarray, rank: np.ndarray, pe
     return rows
 
 
+def _shared(batches):
+    """Postings, sorted by shingle, whose shingle another class posts as well."""
+    last = None  # the open posting: token, s1, n, and whether it was let out
+    for batch in batches:
+        t, s, n = (batch.column(c).to_numpy() for c in ("token", "s1", "n"))
+        if not len(t):
+            continue
+        if last is not None:
+            t, s, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (t, s, n), strict=True))
+        fresh = np.ones(len(t), bool)  # repeats of a class under a token count once
+        fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+        t, s, n = t[fresh], s[fresh], n[fresh]
+        same = np.zeros(len(t) + 1, bool)
+        same[1:-1] = t[1:] == t[:-1]
+        out = same[1:] | same[:-1]
+        if last is not None:
+            out[0] &= not last[3]
+        before = last is not None and len(t) == 1 and last[3]
+        last = (t[-1], s[-1], n[-1], before or bool(out[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(n[out])], ["token", "s1", "n"])
+
+
 def _lists(long_list: int, percent: int):
     """From postings sorted by shingle: for each member of a short list its later members
     (kind 0), or the members of a long list one by one (kind 1)."""
@@ -377,6 +401,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: common.Scratch, n
     if edges.isEmpty():
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    seen = None
     for k in range(1, 60):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -384,7 +409,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: common.Scratch, n
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.keep(small, f"{name}-{k}")
-        same = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        mark = after.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40)))).first()
+        same, seen = mark == seen, mark
         scratch.drop(f"{name}-{k - 1}")
         now = after
         if same:
@@ -394,7 +420,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: common.Scratch, n
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, long_list: int = 8, often_from: int = 12, often_kept: int = 32768, pivot_rounds: int = 2, block: int = 256) -> DataFrame:
+def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, long_list: int = 8, often_from: int = 6, often_kept: int = 131072, pivot_rounds: int = 2, block: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs.
 
     often_from, often_kept: a task reports shingles that it saw so often; so many of them,
@@ -412,6 +438,18 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     classes = scratch.keep(seen.where("kind = 0 and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")).where("rep is not null"), "classes")
 
     posted = docs.select("text").mapInArrow(_postings(width, "text", often, rank, percent), "token long, s1 long, n long").repartition("token").sortWithinPartitions("token", "s1")
+    shared = scratch.keep(posted.mapInArrow(_shared, "token long, s1 long, n long"), "shared")
+    for k in range(2):  # without the documents that share too little, then without what only they shared
+        hits = shared.groupBy("s1", "n").count()
+        fit = hits.where(F.col("count") >= 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10)).select("s1").distinct()
+        fit = scratch.keep(fit, f"fit-{k}")
+        if fit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            fit = F.broadcast(fit)
+        again = shared.join(fit, "s1", "left_semi").select("token", "s1", "n").repartition("token").sortWithinPartitions("token", "s1")
+        if k == 0:
+            shared = scratch.keep(again.mapInArrow(_shared, "token long, s1 long, n long"), "shared-again")
+            scratch.drop("shared")
+    posted = again
     lists = scratch.keep(posted.mapInArrow(_lists(long_list, percent), "kind int, token long, s1 long, n long, others array<long>"), "lists")
     merged = lists.where("kind = 0").groupBy("s1", "n").agg(F.collect_list("others").alias("lists")).mapInArrow(_merge(percent), "a long, b long")
     key = classes.select("s1", F.col("rep").alias("id"), "n", "bits")
