@@ -1,0 +1,186 @@
+import random
+import zlib
+from collections import defaultdict
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillward.llm import bpe_automaton, common, decontaminate, html_extract, language_id, license_scan, lm_score, media, ngram_join, quality, queries, secret_scan
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [None, "", " ", "\n\n", "a", "x" * 70_000, "é\U0001f600", "token=token:abcdef password: 'hunter22'", "AKIAAKIA" + "Z9" * 9, "mit license apache license apache license cc-by", "12 km 3.5 kg"]
+
+
+@pytest.fixture
+def odd(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(ODD)] + [(3, "\n\n", "en", "s", 0), (None, "null id", None, None, None)]
+    return spark.createDataFrame(rows, DOCS).withColumn("id", F.lit(7)).withColumn("kind", F.lit("clash"))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracles()))
+def test_query_equals_sql(same, name):
+    assert same(queries.QUERIES[name], queries.oracles()[name]) == 200
+
+
+def test_odd_rows_keep_one_output_row_each(spark, odd):
+    common.ready(spark)
+    n = odd.count()
+    vocabulary = queries.vocabulary_path()
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for out in (license_scan.license_scan(spark, odd), secret_scan.secret_scan(odd), lm_score.score(spark, odd), bpe_automaton.encode_decode(spark, odd, vocabulary), media.store_texts(spark, odd), quality.classify(spark, odd, labels), language_id.identify(spark, odd), ngram_join.ngram_join(spark, odd)):
+        assert out.count() == n
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert ngram_join.ngram_join(spark, none).count() == 0
+    assert language_id.identify(spark, none).count() == 0
+    assert lm_score.score(spark, none).count() == 0
+    assert decontaminate.find_leaks(spark, none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def brute_components(rows):
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets, seen = {}, defaultdict(list)
+    for i, text in rows:
+        w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", (text or "").translate(low)) if x]
+        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    head = {i: i for i in sets}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i, s in sets.items():
+        near = defaultdict(int)
+        for g in s:
+            for j in seen[g]:
+                near[j] += 1
+            seen[g].append(i)
+        for j, o in near.items():
+            if 100 * o >= 90 * (len(s) + len(sets[j]) - o) and find(i) != find(j):
+                head[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_ngram_join_equals_brute_force(spark):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    base = [r.choice(words) for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):  # one large group of near copies around the threshold
+        t = list(base)
+        for _ in range(r.randint(0, 4)):
+            t[r.randrange(len(t))] = r.choice(words)
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join(r.choice(words[:6]) for _ in range(r.randint(0, 9)))) for i in range(120)]
+    rows += [(300 + i, " ".join(base[:40] + [r.choice(words) for _ in range(30)])) for i in range(40)]
+    got = {x[0]: (x[1], x[2]) for x in ngram_join.ngram_join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_merge_skip_counts():
+    r = random.Random(2)
+    for _ in range(300):
+        lists = [sorted(r.sample(range(30), r.randint(1, 9))) for _ in range(r.randint(1, 8))]
+        t = r.randint(1, 5)
+        want = sorted(v for v in range(30) if sum(v in x for x in lists) >= t)
+        assert ngram_join.merge_skip(lists, t) == want
+
+
+def test_bpe_equals_library():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    lib, own, r = Tokenizer.from_file(path), bpe_automaton.load(path), random.Random(3)
+    texts = ["", "<|endoftext|> a<|endoftext|>", "x" * 3000, "aaaa" * 50] + ["".join(r.choice("aAbé  \t\n'sll0१½漢😀́ the ing") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert list(own.encode(t)) == e.ids
+        assert own.decode(e.ids) == lib.decode(e.ids, skip_special_tokens=False)
+
+
+def test_media_round_trip_and_damage():
+    for n in (0, 1, 64, 5000, 300_000):
+        raw = media.padded(random.Random(n).randbytes(n))
+        file = media.store(raw)
+        assert media.read_back(file) == raw and len(raw) % 64 == 0 and raw
+        info = media.probe_one(file)
+        assert info["error"] is None and info["duration"] == len(raw) and info["keyframes"][0]["size"] == min(4096, len(raw))
+        assert media.probe_one(file[: len(file) // 2])["error"]
+    assert media.probe_one(b"junk")["error"] and media.probe_one(None)["error"] == "empty"
+
+
+def test_template_automaton_regions():
+    scanner = license_scan.Scanner({"t": "alpha <<var:2>> beta<<opt>> gamma<<end>> delta"})
+    ok = lambda s: bool(scanner.scan(license_scan.word_keys(s))[1])
+    assert ok("Alpha beta delta") and ok("x alpha, one two beta gamma: delta y") and not ok("alpha one two three beta delta") and not ok("alpha beta gamma gamma delta")
+
+
+def test_decontamination_templates(spark):
+    items = spark.createDataFrame([(1, "A train leaves Springfield with 12 wagons and each of the 12 wagons carries 30 kg of coal"), (2, None)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "intro. A train leaves Shelbyville with 15 wagons and each of the 15 wagons carries 44 lb of coal and then"),
+        (2, "intro. A train leaves Shelbyville with 15 wagons and each of the 16 wagons carries 44 lb of coal and then"),
+        (3, "the train leaves with coal"), (4, None)], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.find_leaks(spark, docs, items).collect()] == [1]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(spark, docs, items).collect()) == [2, 3, 4]
+
+
+def test_decontamination_equals_brute_force(spark):
+    docs, items = (common.table(spark, DATA, t) for t in ("documents", "benchmark"))
+    want = {(d.doc_id, b.item_id) for d in docs.collect() for b in items.collect() if b.text in d.text}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, docs, items).collect()}
+    assert want <= got and len(got - want) <= 2
+
+
+def test_held_out_accuracy(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = docs.select("doc_id", "lang").join(language_id.identify(spark, docs), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    labels = common.table(spark, "/root/testdata/sf0.01", "labels")
+    rows = quality.classify(spark, docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+
+
+def test_html_main_text():
+    page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>Head</h1><p>One &amp; <b>two<br>three<p>Four</article><div id=comments><p>nice</p></div><footer>foot</footer><script>x='</p>'</script></body></html>"
+    assert html_extract.article(page) == "Head One & two three Four"
+    assert html_extract.article("") == "" and html_extract.article("<div") in ("", "<div") and html_extract.article("<p>only</p>") == "only"
+
+
+def test_network_learns():
+    import numpy as np
+
+    net = lm_score.WindowNetwork(8, 1)
+    ctx = np.arange(lm_score.CLASSES) * lm_score.CLASSES**2  # the left neighbour tells the word
+    counts = np.eye(lm_score.CLASSES) * 100
+    before = net.forward(ctx)[1]
+    net.train(ctx, counts, 200, 0.05)
+    after = net.forward(ctx)[1]
+    assert (counts * after).sum() > (counts * before).sum() / 3 and np.allclose(np.exp(after).sum(1), 1)
+    assert len(lm_score.contexts(np.array([1, 2, 3]), np.array([0, 2, 3]))) == 3
+    assert list(lm_score.words_of(pa.array(["Ab, c", None])))[0][2].tolist() == [0, 3, 3]
+
+
+def test_redaction(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "x token=abcdef123 y", "en", "s", 19), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)], DOCS)
+    out = {r.doc_id: r for r in corpus_pipeline.without_secrets(spark, docs, "").collect()}
+    assert out[1].text == "x [secret] y" and out[1].n_chars == 12 and out[2].text is None and out[3].text == "clean"
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = common.table(spark, DATA, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    heads = brute_components(rows)
+    items = [b.text for b in common.table(spark, DATA, "benchmark").collect()]
+    want = {i for i, t in rows if any(c.isalpha() for c in t) and heads[i][1] == i and not any(b in t for b in items)}
+    got = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got <= want and len(want - got) <= 2
