@@ -16,8 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch: documents can be long, so batches stay small.
+#: Rows and bytes per Arrow batch: documents can be long, so batches stay small.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
+
+#: Python workers live through many stages: large blocks are mapped and go back when freed.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -27,7 +31,10 @@ def ready(spark: SparkSession) -> SparkSession:
     known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -87,7 +94,7 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 4 << 20):
+def chunks(offsets: np.ndarray, limit: int = 1 << 20):
     """Row ranges whose bytes stay within limit; a longer row stands alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
