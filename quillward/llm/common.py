@@ -7,6 +7,7 @@ private folder is made only where that setting is missing (tests, notebooks).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 
+#: Bytes of words hashed at once.
+SLICE_BYTES = 1 << 16
+
 #: Python workers live through many stages: large blocks are mapped and go back when freed.
 WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
@@ -125,7 +129,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(have)
-        if n <= 8 << 20:  # longer ones are not kept
+        if n <= 1 << 18:  # longer ones are not kept
             _powers[str(base)] = have
     return have
 
@@ -148,8 +152,31 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
     keys = np.where(is_word, _BYTE_KEYS, np.uint64(0))
-    with np.errstate(over="ignore"):
-        value = np.add.reduceat(keys[low] * _power(_BASE, len(data))[: len(data)], starts)
-        value *= _power(_UNBASE, len(data))[starts]
+    value, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # slices of whole words; a hash depends on its own word alone
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, a + SLICE_BYTES)))
+        b = starts[j] if j < len(starts) else len(data)
+        at = starts[i:j] - a
+        with np.errstate(over="ignore"):
+            part = np.add.reduceat(keys[low[a:b]] * _power(_BASE, b - a)[: b - a], at)
+            value[i:j] = part * _power(_UNBASE, b - a)[at]
+        i = j
     row = np.searchsorted(offsets, starts, side="right") - 1
     return mix64(value), row, starts
+
+
+def trimmed(rows):
+    """A batch function that gives freed memory back when its task ends, as workers are used again."""
+    def run(batches):
+        yield from rows(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -137,7 +137,7 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(values, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), (fold_of(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(score, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return own.mapInArrow(common.trimmed(score), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def drop_unknown(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
@@ -155,4 +155,4 @@ def drop_unknown(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             names, _ = shared.value.score(common.texts_of(batch.column(text_col)))
             yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.trimmed(keep), docs.schema)

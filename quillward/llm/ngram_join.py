@@ -187,13 +187,22 @@ def _scan(width: int, id_col: str, text_col: str, often_from: int):
 
         def settle(final: bool):
             nonlocal kept, counts, tally
-            u, c = np.unique(np.concatenate(kept), return_counts=True) if kept else tally
-            if kept and len(tally[0]):
-                allv, inv = np.unique(np.concatenate([tally[0], u]), return_inverse=True)
-                c = np.bincount(inv, weights=np.concatenate([tally[1], c])).astype(np.int64)
-                u = allv
+            fresh, kept, counts = np.concatenate([*kept, tally[0][:0]]), [], 0
+            fresh.sort()
+            ends = np.flatnonzero(np.append(fresh[1:] != fresh[:-1], True)) if len(fresh) else np.zeros(0, np.int64)
+            value, times = fresh[ends], np.diff(ends, prepend=-1)
+            del fresh, ends
+            had, total = tally
+            if len(had) and len(value):  # what was known takes its new hits; the rest is new
+                at = np.minimum(np.searchsorted(value, had), len(value) - 1)
+                same = value[at] == had
+                total = total + np.where(same, times[at], 0)
+                times[at[same]] = 0
             floor = often_from if final else 2
-            tally, kept, counts = (u[c >= floor], c[c >= floor]), [], 0
+            new = times >= floor
+            value, times = np.concatenate([had[total >= floor], value[new]]), np.concatenate([total[total >= floor], times[new]])
+            order = np.argsort(value)
+            tally = value[order], times[order]
 
         for batch in batches:
             out = {k: [] for k in ("n", "s1", "s2", "bits")}
@@ -430,15 +439,15 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     common.ready(spark)
     scratch = common.Scratch(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = scratch.keep(docs.mapInArrow(_scan(width, "id", "text", often_from), "kind int, id long, n long, s1 long, s2 long, bits binary"), "scan")
+    seen = scratch.keep(docs.mapInArrow(common.trimmed(_scan(width, "id", "text", often_from)), "kind int, id long, n long, s1 long, s2 long, bits binary"), "scan")
     rows = seen.where("kind = 0").select("id", "n", "s1", "s2")
     heavy = seen.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(often_kept).collect()
     heavy = sorted((int(np.int64(r["s1"]).view(np.uint64)), r["n"]) for r in heavy)
     often, rank = np.array([x for x, _ in heavy], np.uint64), np.array([x for _, x in heavy], np.int64)
     classes = scratch.keep(seen.where("kind = 0 and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")).where("rep is not null"), "classes")
 
-    posted = docs.select("text").mapInArrow(_postings(width, "text", often, rank, percent), "token long, s1 long, n long").repartition("token").sortWithinPartitions("token", "s1")
-    shared = scratch.keep(posted.mapInArrow(_shared, "token long, s1 long, n long"), "shared")
+    posted = docs.select("text").mapInArrow(common.trimmed(_postings(width, "text", often, rank, percent)), "token long, s1 long, n long").repartition("token").sortWithinPartitions("token", "s1")
+    shared = scratch.keep(posted.mapInArrow(common.trimmed(_shared), "token long, s1 long, n long"), "shared")
     for k in range(2):  # without the documents that share too little, then without what only they shared
         hits = shared.groupBy("s1", "n").count()
         fit = hits.where(F.col("count") >= 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10)).select("s1").distinct()
@@ -447,11 +456,11 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
             fit = F.broadcast(fit)
         again = shared.join(fit, "s1", "left_semi").select("token", "s1", "n").repartition("token").sortWithinPartitions("token", "s1")
         if k == 0:
-            shared = scratch.keep(again.mapInArrow(_shared, "token long, s1 long, n long"), "shared-again")
+            shared = scratch.keep(again.mapInArrow(common.trimmed(_shared), "token long, s1 long, n long"), "shared-again")
             scratch.drop("shared")
     posted = again
-    lists = scratch.keep(posted.mapInArrow(_lists(long_list, percent), "kind int, token long, s1 long, n long, others array<long>"), "lists")
-    merged = lists.where("kind = 0").groupBy("s1", "n").agg(F.collect_list("others").alias("lists")).mapInArrow(_merge(percent), "a long, b long")
+    lists = scratch.keep(posted.mapInArrow(common.trimmed(_lists(long_list, percent)), "kind int, token long, s1 long, n long, others array<long>"), "lists")
+    merged = lists.where("kind = 0").groupBy("s1", "n").agg(F.collect_list("others").alias("lists")).mapInArrow(common.trimmed(_merge(percent)), "a long, b long")
     key = classes.select("s1", F.col("rep").alias("id"), "n", "bits")
     side = lambda c: key.select(F.col("s1").alias(f"s_{c}"), F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     members = lists.where("kind = 1").select("token", "s1").join(key, "s1").select("token", "id", "n", "bits")
@@ -463,14 +472,14 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        wanted = docs.join(ids, "id", "left_semi").mapInArrow(_arrays(width, "text"), "id long, s1 long, s2 long, grams binary")
+        wanted = docs.join(ids, "id", "left_semi").mapInArrow(common.trimmed(_arrays(width, "text")), "id long, s1 long, s2 long, grams binary")
         own = classes.select(F.col("rep").alias("id"), "s1", "s2")
         sets = scratch.keep(wanted.join(own, ["id", "s1", "s2"]).dropDuplicates(["id"]).select("id", "grams"), f"{name}-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        return scratch.keep(both.mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
+        return scratch.keep(both.mapInArrow(common.trimmed(_verify(percent)), "a long, b long"), f"{name}-links")
 
     near = merged.select(F.col("a").alias("s_a"), F.col("b").alias("s_b")).join(side("a"), "s_a").join(side("b"), "s_b")
-    edges = linked(near.mapInArrow(_bitmap_filter(percent), "a long, b long").distinct(), "near")
+    edges = linked(near.mapInArrow(common.trimmed(_bitmap_filter(percent)), "a long, b long").distinct(), "near")
     comps = components(spark, edges, scratch, "comp-near")
 
     with_long = not members.isEmpty()
@@ -484,7 +493,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
             break
         tries = open_.join(pivots, "token").where("comp <> comp_a").where(F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent)
         tries = tries.select("a", "n_a", "bits_a", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).dropDuplicates(["a", "b"])
-        edges = edges.union(linked(tries.mapInArrow(_bitmap_filter(percent), "a long, b long"), f"pivot-{k}"))
+        edges = edges.union(linked(tries.mapInArrow(common.trimmed(_bitmap_filter(percent)), "a long, b long"), f"pivot-{k}"))
         comps = components(spark, edges, scratch, f"comp-{k}")
         moved = pivots.select("token", F.col("a").alias("id")).join(comps, "id", "left").select("token", F.coalesce("comp", "id").alias("comp"))
         done = scratch.keep(done.join(comps.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("token", F.coalesce("to", "comp").alias("comp")).union(moved).distinct(), f"done-{k}")
