@@ -115,10 +115,15 @@ def neutral_formula(text: str | Column) -> Column:
 
 def sanitize(text: str | Column, file_type: Column | None = None) -> Column:
     """Strip mode: look-alikes, invisible and control characters, hidden HTML, formulas, phrases."""
-    out = F.col(text) if isinstance(text, str) else text
-    for glyph, latin in zip(rules.HOMOGLYPHS, rules.LATIN, strict=True):
-        out = F.regexp_replace(out, f"(?<=[A-Za-z]){glyph}|{glyph}(?=[A-Za-z])", latin)
-    return plain_sanitize(out, file_type)
+    return plain_sanitize(latinized(text), file_type)
+
+
+def latinized(text: str | Column) -> Column:
+    """Look-alikes with an ASCII letter on either side in the given text become Latin letters."""
+    own = f"[{rules.HOMOGLYPHS}]"
+    near = F.lit(f"(?<=[A-Za-z]){own}|{own}(?=[A-Za-z])")
+    rest, found = F.split(text, near, -1), F.regexp_extract_all(text, near, F.lit(0))
+    return F.array_join(F.zip_with(rest, found, lambda a, g: F.concat(a, F.translate(F.coalesce(g, F.lit("")), rules.HOMOGLYPHS, rules.LATIN))), "")
 
 
 def plain_sanitize(out: Column, file_type: Column | None = None) -> Column:

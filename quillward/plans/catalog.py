@@ -344,4 +344,4 @@ def context_demotion(spark, sf_dir):
 
 @query()
 def sanitize_full(spark, sf_dir):
-    return corpus(spark, sf_dir).where("payload_id < 22").select("doc_id", D.sanitize("text", F.col("file_type")).alias("cleaned"))
+    return corpus(spark, sf_dir).select("doc_id", D.sanitize("text", F.col("file_type")).alias("cleaned"))
