@@ -93,6 +93,13 @@ WEAK_KEYS = ["payload", "chat", "history", "context", "sys", "system", "auth", "
 #: Style rules that hide text.
 CSS_HIDING = [r"display\s*:\s*none", r"visibility\s*:\s*hidden", r"opacity\s*:\s*0\b", r"font-size\s*:\s*0", r"color\s*:\s*transparent"]
 
+#: Hidden elements up to their end tag, in the order of their removal, and the mark that stands for one.
+HIDDEN_ELEMENTS = [
+    r"""<([a-z][a-z0-9]*)\b([^>]*?)style\s*=\s*"([^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:[;"]|\s)|font-size\s*:\s*0)[^"]*)"([^>]*)>[\x00-\x{10FFFF}]*?</\1>""",
+    r"<([a-z][a-z0-9]*)\b([^>]*?)\bhidden\b([^>]*)>[\x00-\x{10FFFF}]*?</\1>",
+]
+HIDDEN_MARK = "<!-- [REMOVED: hidden element] -->"
+
 #: Functions and commands that a spreadsheet cell must not start.
 FORMULA_RULES = [
     ("DDE Excel command", r"\b(?:cmd|powershell|mshta|wscript|cscript|rundll32|regsvr32)\b\|"),

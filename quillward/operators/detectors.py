@@ -126,12 +126,21 @@ def latinized(text: str | Column) -> Column:
     return F.array_join(F.zip_with(rest, found, lambda a, g: F.concat(a, F.translate(F.coalesce(g, F.lit("")), rules.HOMOGLYPHS, rules.LATIN))), "")
 
 
+def without_hidden(text: str | Column) -> Column:
+    """HTML without the elements that a double-quoted style or the attribute hides."""
+    out = F.col(text) if isinstance(text, str) else text
+    for p in rules.HIDDEN_ELEMENTS:
+        out = F.regexp_replace(out, pattern(p), rules.HIDDEN_MARK)
+    return out
+
+
 def plain_sanitize(out: Column, file_type: Column | None = None) -> Column:
     """The steps of strip mode after look-alikes."""
     names = ("tag", "known_invisible", "bidi_embedding", "bidi_override", "bidi_isolate")
     out = F.regexp_replace(out, "[" + "".join(CLASSES[n] for n in names) + "]", "")
     out = F.regexp_replace(out, f"[{CLASSES['control']}]", "")
     if file_type is not None:  # one use of the text: lines of other types pass as they are
+        out = F.element_at(F.transform(F.array(out), lambda x: F.when(file_type == "html", without_hidden(x)).otherwise(x)), 1)
         cells = file_type.isin("csv", "xlsx")
         out = F.array_join(F.transform(F.split(out, "\n", -1), lambda c: F.when(cells & formula_kind(c).isNotNull(), F.concat(F.lit("'"), c)).otherwise(c)), "\n")
     for _, p, f, _ in rules.PHRASE_RULES:

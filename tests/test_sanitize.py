@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillward.functions import rules
 from quillward.functions.rules import pattern
+from quillward.operators import detectors as D
 from quillward.operators.spans import _cls
 from quillward.plans import catalog
 from quillward.session import ready
@@ -40,6 +42,9 @@ def cleaned(text, file_type):
     if text is None:
         return None
     out = CONTROL.sub("", INVISIBLE.sub("", near(text)))
+    if file_type == "html":
+        for p in rules.HIDDEN_ELEMENTS:
+            out = re.sub(pattern(p, "i", "py"), rules.HIDDEN_MARK, out)
     if file_type in ("csv", "xlsx"):
         out = "\n".join("'" + x if risky(x) else x for x in out.split("\n"))
     for _, p, f, _ in rules.PHRASE_RULES:
@@ -60,3 +65,13 @@ def test_sanitize_full_equals_brute_force_on_every_document(spark, small):
     got = [(r.doc_id, r.cleaned) for r in catalog.QUERIES["sanitize_full"](spark, small).collect()]
     assert len(got) == len(want) == 7 * EVERY
     assert dict(got) == want
+
+
+def test_hidden_elements_of_html_go(spark, small):
+    got = {r.doc_id: r.cleaned for r in catalog.QUERIES["sanitize_full"](spark, small).collect()}
+    page = next(t for i, t in got.items() if i % EVERY == 17 and t)
+    assert "hidden words" not in page and "<!-- [REMOVED: hidden element] --><!--" in page and "<p>x</p>" in page
+    rows = [("<B hidden>a\n<i>b</i></b>c", "html"), ("<b hidden>a</b>", "text"), ("<p style=\"opacity: 0;x\">a</p><p style='display:none'>b</p><p>c</p>", "html"), (None, "html"), ("<b hidden>a</b>", None)]
+    out = spark.createDataFrame(rows, "text string, file_type string").select(D.sanitize("text", F.col("file_type")).alias("s")).collect()
+    mark = "<!-- [REMOVED: hidden element] -->"
+    assert [r.s for r in out] == [mark + "c", "<b hidden>a</b>", mark + "<p style='display:none'>b</p><p>c</p>", None, "<b hidden>a</b>"]
