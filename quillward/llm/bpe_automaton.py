@@ -43,8 +43,10 @@ LATER = (
 LATER = regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", LATER)
 #: Word split of the public byte-level vocabulary (fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of each of two word caches and bytes of a cached word, per Python worker.
-CACHED, CACHED_BYTES = 400_000, 64
+#: Bounds per Python worker: bytes of each of two word caches (an entry counts ENTRY bytes
+#: beside its word), bytes of a cached word, and cells of the arc table kept.
+CACHE_BYTES, ENTRY, CACHED_BYTES, CELLS = 8 << 20, 192, 64, 150_000
+LEAF: dict = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,35 +72,41 @@ class MergeAutomaton:
         self.later = regex.compile(f"[{LATER}]")
         self.split_later = regex.compile("(?V1)" + WORDS.replace("[^\\s\\p{L}\\p{N}]", f"[^\\s{odd}]").replace(" ?\\p{L}+", f" ?{letters_}+").replace(" ?\\p{N}+", f" ?{odd.replace(chr(92) + 'p{L}', '')}+"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def compile(self, merges: list[tuple[int, int, int]]) -> None:
         """One gadget per merge, in order: (time, row copied from, column copied from)."""
-        self.erased: dict[tuple[int, int], int] = {}
+        self.erased: dict[int, int] = {}  # last << 17 | token -> time
         self.gadget: dict[int, tuple[int, int, int]] = {}
         for time, (a, b, ab) in enumerate(merges, 1):
-            self.erased.setdefault((a, b), time)
+            self.erased.setdefault(a << 17 | b, time)
             self.gadget.setdefault(ab, (time, a, b))
         self.table: dict[int, bool] = {}  # by last << 17 | token
         # Labels that merges can make: the bytes, and every merge's result.
         made = [i for i, x in self.labels.items() if i in self.gadget or (len(x) == 1 and i not in self.special.values())]
-        # Trie over labels: byte -> (next node, the token that ends there or -1).
-        root: dict[int, list] = {}
-        for i in made:
-            node, step = root, None
-            for byte in self.labels[i]:
-                step = node.setdefault(byte, [{}, -1])
-                node = step[0]
-            step[1] = i
-        self.trie = root
+        self.trie = self.branch(sorted((self.labels[i], i) for i in made), 0)
+
+    def branch(self, labels: list[tuple[bytes, int]], depth: int) -> dict[int, tuple[dict, int]]:
+        """Trie over sorted labels longer than depth: byte -> (branch below, the token that ends there or -1)."""
+        out, at = {}, 0
+        while at < len(labels):
+            byte, to = labels[at][0][depth], at
+            while to < len(labels) and labels[to][0][depth] == byte:
+                to += 1
+            ends = len(labels[at][0]) == depth + 1
+            below = labels[at + ends : to]
+            out[byte] = (self.branch(below, depth + 1) if below else LEAF, labels[at][1] if ends else -1)
+            at = to
+        return out
 
     def arc(self, last: int, token: int) -> bool:
         """Whether the state after ``last`` has an arc ``token`` once all gadgets are applied."""
         key = last << 17 | token
         before, ok = len(self.erased) + 1, True
         while True:
-            if self.erased.get((last, token), before) < before:
+            if self.erased.get(last << 17 | token, before) < before:
                 ok = False
                 break
             row, col = self.gadget.get(last), self.gadget.get(token)
@@ -110,13 +118,13 @@ class MergeAutomaton:
             else:
                 # the column of ``token`` was copied after its merge erased a cell
                 before, token = min(before, col[0] + 1), col[1]
-        if len(self.table) > 4_000_000:
+        if len(self.table) >= CELLS:
             self.table.clear()
         self.table[key] = ok
         return ok
 
-    def word(self, data: bytes) -> tuple[int, ...]:
-        """The tokens of one word: the only path of the automaton that spells it."""
+    def word(self, data: bytes) -> bytes:
+        """The tokens of one word, four bytes each: the only path of the automaton that spells it."""
         n = len(data)
         token, start = [-1] * (n + 1), [0] * (n + 1)
         root, table, arc = self.trie, self.table, self.arc
@@ -124,47 +132,52 @@ class MergeAutomaton:
             last = token[i]
             if i and last < 0:
                 continue
-            node = root
-            for j in range(i + 1, n + 1):
-                step = node.get(data[j - 1])
+            node, key = root, last << 17
+            for j in range(i, n):
+                step = node.get(data[j])
                 if step is None:
                     break
                 node, t = step
-                if t >= 0 and token[j] < 0:
+                if t >= 0 and token[j + 1] < 0:
                     if i:
-                        ok = table.get(last << 17 | t)
+                        ok = table.get(key | t)
                         if ok is None:
                             ok = arc(last, t)
                         if not ok:
                             continue
-                    token[j], start[j] = t, i
+                    token[j + 1], start[j + 1] = t, i
         if n and token[n] < 0:
             raise ValueError("no path spells the word: the vocabulary lacks single bytes")
-        out, at = [], n
+        out, at = array("I"), n
         while at:
             out.append(token[at])
             at = start[at]
-        return tuple(reversed(out))
+        out.reverse()
+        return out.tobytes()
+
+    def remember(self, w: str) -> bytes:
+        """The tokens of a word that the newer cache lacks."""
+        data = w.encode("utf-8", "surrogatepass")
+        got = self.older.get(w) or self.word(data)
+        if len(data) <= CACHED_BYTES:
+            if self.held >= CACHE_BYTES:
+                self.older, self.cache, self.held = self.cache, {}, 0
+            self.cache[w] = got
+            self.held += ENTRY + len(data) + len(got)
+        return got
 
     def encode(self, text: str) -> array:
-        ids, cache = array("I"), self.cache
+        out: list[bytes] = []
         parts = self.cut.split(text) if any(x in text for x in self.special) else [text]
         for part in parts:
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(array("I", [self.special[part]]).tobytes())
                 continue
             split = self.split_later if not part.isascii() and max(part) > "\u0557" and self.later.search(part) else self.split
             for w in split.findall(part):
-                got = cache.get(w)
-                if got is None:
-                    data = w.encode("utf-8", "surrogatepass")
-                    got = self.older.get(w) or self.word(data)
-                    if len(data) <= CACHED_BYTES:
-                        if len(cache) >= CACHED:
-                            self.older, self.cache = cache, {}
-                            cache = self.cache
-                        cache[w] = got
-                ids.extend(got)
+                out.append(self.cache.get(w) or self.remember(w))
+        ids = array("I")
+        ids.frombytes(b"".join(out))
         return ids
 
     def decode(self, ids) -> str:
@@ -218,5 +231,5 @@ def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = own.mapInArrow(rows, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    out = own.mapInArrow(common.trimmed(rows), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
     return out.withColumnRenamed("id", id_col)
