@@ -2,10 +2,13 @@
 
 Fixed rules give ``assign``, ``access`` and ``hex`` spans. Beside them, every candidate
 string (a run of key characters, at least one window long, with a digit and a letter)
-is read by a sliding window: Shannon entropy from counts that change by the character
-that enters and the one that leaves. Runs of hexadecimal digits and mixed runs are two
-character classes with a threshold each. Candidates with an allow-listed piece are
-suppressed; rule spans never are.
+belongs to the narrowest character class that holds all its characters: hexadecimal
+digits of one case, digits with letters of one case, or all key characters; each class
+has its own least entropy. A window slides over the candidate: a table of counts, one
+digit per character of the class alphabet, changes in two places by the character that
+enters and the one that leaves, and with it the sum of ``k log2 k`` that makes the
+Shannon entropy. Time is linear in the candidate's length. Candidates with an
+allow-listed piece are suppressed; rule spans never are.
 
 Entropy is compared in whole millionths of ``k log2 k``, so results do not depend on
 float order. Null is the empty text. Spans are code points, end exclusive; repeated rows
@@ -27,8 +30,10 @@ QUICK = {"hex": r"(?<![0-9a-f])[0-9a-f]{24,}+"}
 KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Least bits of a window, per class.
-BITS = {"hex": 2.9, "mixed": 3.8}
+#: Characters of candidates; the count of each has its place in this order.
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+#: Character classes, narrowest first: name, pattern of a whole candidate, least bits of a window.
+CLASSES = [("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", 2.9), ("one case", "^(?:[0-9a-z]+|[0-9A-Z]+)$", 3.6), ("mixed", "", 3.8)]
 #: Pieces of well-known harmless strings; lower case.
 ALLOW = ["example", "placeholder", "changeme", "xxxxxxxx", "00000000", "12345678", "abcdefgh", "sha256-", "sha384-", "sha512-"]
 
@@ -43,50 +48,66 @@ def most_weight(bits: float, window: int) -> int:
     return int(window * (math.log2(window) - bits) * 1e6)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, though use names it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _added(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def _cells(x: Column) -> Column:
+    """A non-empty array in slices of 64."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 64).cast("int")), lambda c: F.slice(x, c * 64 + 1, F.lit(64)))
+
+
 def _starts(gaps: Column, hits: Column) -> Column:
-    """Start of each hit: what the gaps and hits before it span. Sums run in blocks of 64."""
-    lens = F.transform(hits, lambda h, i: F.length(F.element_at(gaps, i + 1)) + F.length(h))
-    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-    cells = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / 64).cast("int")),
-        lambda c: F.struct(add(F.slice(lens, F.lit(1), c * 64)).alias("before"), c.alias("c")),
-    )
-    return F.flatten(F.transform(cells, lambda cell: F.transform(
-        F.slice(lens, cell["c"] * 64 + 1, F.lit(64)),
-        lambda n, j: cell["before"] + add(F.slice(F.slice(lens, cell["c"] * 64 + 1, F.lit(64)), F.lit(1), j + 1)) - F.length(F.element_at(hits, cell["c"] * 64 + j + 1)),
-    )))
+    """Start of each hit: what the gaps and hits before it span, summed in cells and over sums of cells."""
+    def within(w):
+        return F.transform(w["cell"], lambda n, j: w["before"] + _added(F.slice(w["cell"], F.lit(1), j + 1)))
+
+    def over(z):
+        each = lambda cell, c: _let(F.struct(cell.alias("cell"), _added(F.slice(z["sums"], F.lit(1), c)).alias("before")), within)
+        return F.flatten(F.transform(z["cells"], each))
+
+    spans = _let(F.struct(gaps.alias("g"), hits.alias("h")), lambda z: F.zip_with(F.slice(z["g"], F.lit(1), F.size(z["h"])), z["h"], lambda g, h: (F.length(g) + F.length(h)).cast("long")))
+    ends = _let(spans, lambda x: _let(_cells(x), lambda cells: _let(F.struct(cells.alias("cells"), F.transform(cells, _added).alias("sums")), over)))
+    return F.zip_with(ends, hits, lambda e, h: e - F.length(h))
 
 
-def _found(df: DataFrame, kind: int, pattern: str, group: int, least: int, keep=None) -> DataFrame:
-    """Adds span_<kind>: array of (start, kind, end, hit) for matches of the pattern."""
+def _found(df: DataFrame, kind: int, pattern: str, group: int, least: int) -> DataFrame:
+    """Adds _span<kind>: array of (start, kind, end, hit, size) for matches of the pattern; size: of the group that counts."""
     df = df.withColumn("_hits", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
     some = F.size("_hits") > 0
-    df = df.withColumn("_gaps", F.when(some, F.split("_text", pattern, -1)))
-    df = df.withColumn("_kept", F.when(some, F.regexp_extract_all("_text", F.lit(pattern), F.lit(group)))) if group else df.withColumn("_kept", F.col("_hits"))
-    df = df.withColumn("_at", F.when(some, _starts(F.col("_gaps"), F.col("_hits"))))
-    spans = F.transform("_hits", lambda h, i: F.struct(F.element_at("_at", i + 1).alias("start"), F.lit(kind).alias("kind"), (F.element_at("_at", i + 1) + F.length(h)).alias("end"), h.alias("hit"), F.length(F.element_at("_kept", i + 1)).alias("size")))
-    df = df.withColumn(f"_span{kind}", F.when(some, F.filter(spans, lambda x: x["size"] >= least)).otherwise(F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint,hit:string,size:int>>")))
-    return df.drop("_hits", "_gaps", "_kept", "_at")
+    kept = F.regexp_extract_all("_text", F.lit(pattern), F.lit(group)) if group else F.col("_hits")
+    at = F.arrays_zip(F.col("_hits").alias("hit"), kept.alias("own"), _starts(F.split("_text", pattern, -1), F.col("_hits")).alias("at"))
+    spans = F.transform(at, lambda x: F.struct(x["at"].alias("start"), F.lit(kind).alias("kind"), (x["at"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), F.length(x["own"]).alias("size")))
+    return df.withColumn(f"_span{kind}", F.when(some, F.filter(spans, lambda x: x["size"] >= least)).otherwise(F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint,hit:string,size:int>>"))).drop("_hits")
 
 
 def least_sum(text: Column, window: int) -> Column:
-    """The smallest sum of weights over all windows of a string: one fold whose counts follow the window."""
-    table = F.array(*[F.lit(weight(k)) for k in range(window + 2)])
-    f = lambda k: F.element_at(table, k + 1)
-    count = lambda part, c: F.length(part) - F.length(F.replace(part, c, F.lit("")))
-    zero = F.struct(F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("best"))
+    """The smallest sum of weights over all windows of a string: one fold over what leaves and what enters.
+
+    The state has a count for each character of ALPHABET, as one character of a string.
+    """
+    grow = F.array(*[F.lit(weight(k + 1) - weight(k)) for k in range(window + 1)])
+    shrink = F.array(*[F.lit(weight(k - 1) - weight(k) if k else 0) for k in range(window + 1)])
+    zero = F.struct(F.lit("0" * len(ALPHABET)).alias("counts"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("best"))
+    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    event = lambda at, full, enters: F.struct(at.alias("at"), full.alias("full"), F.lit(enters).alias("enters"))
 
-    def step(state, i):
-        leaves, enters = F.substr(text, i - window, F.lit(1)), F.substr(text, i, F.lit(1))
-        full = i > window
-        old = F.when(full, F.substr(text, i - window, F.lit(window))).otherwise(F.substr(text, F.lit(1), i - 1))
-        gone = F.when(full, count(old, leaves)).otherwise(F.lit(0))
-        rest = F.when(full, F.substr(old, F.lit(2), F.lit(window - 1))).otherwise(old)
-        now = count(rest, enters)
-        total = state["sum"] + F.when(full, f(gone - 1) - f(gone)).otherwise(F.lit(0)) + f(now + 1) - f(now)
-        return F.struct(total.alias("sum"), F.when(i >= window, F.least(state["best"], total)).otherwise(state["best"]).alias("best"))
+    def events(chars):
+        """Of each character: what leaves (from the second window on), then what enters."""
+        return F.flatten(F.transform(chars, lambda c, i: F.when(i >= window, F.array(event(place(F.get(chars, i - window)), F.lit(False), False), event(place(c), F.lit(True), True))).otherwise(F.array(event(place(c), i == window - 1, True)))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda s: s["best"])
+    def step(s, e):
+        count = F.ascii(F.substr(s["counts"], e["at"], F.lit(1))) - 48
+        total = s["sum"] + F.when(e["enters"], F.get(grow, count)).otherwise(F.get(shrink, count))
+        counts = F.overlay(s["counts"], F.char(count + F.when(e["enters"], 49).otherwise(47)), e["at"], F.lit(1))
+        return _let(total, lambda t: F.struct(counts.alias("counts"), t.alias("sum"), F.when(e["full"], F.least(s["best"], t)).otherwise(s["best"]).alias("best")))
+
+    return F.aggregate(_let(F.split(text, ""), events), zero, step, lambda s: s["best"])
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +122,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     low = lambda x: F.lower(x["hit"])
     likely = lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]") & ~low(x).rlike("|".join(ALLOW))
     df = df.withColumn("_span3", F.filter("_span3", likely))
-    most = lambda x: F.when(x["hit"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(most_weight(BITS["hex"], WINDOW))).otherwise(F.lit(most_weight(BITS["mixed"], WINDOW)))
+    most = lambda x: F.coalesce(*[F.when(x["hit"].rlike(own), F.lit(most_weight(bits, WINDOW))) for _, own, bits in CLASSES])
     df = df.withColumn("_span3", F.filter("_span3", lambda x: least_sum(x["hit"], WINDOW) <= most(x)))
     order = lambda x: F.array_sort(x)
     name = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
@@ -134,7 +155,7 @@ with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from do
  w3 as (select cid, unnest(range(1, length(hit) - {WINDOW - 2})) i, hit from c3),
  n3 as (select cid, i, ch, count(*) n from (select cid, i, unnest(string_split(substr(hit, i, {WINDOW}), '')) ch from w3) group by all),
  e3 as (select cid, min(e) best from (select cid, i, sum(case when n > 1 then round(1e6 * n * log2(n)) else 0 end) e from n3 group by all) group by all),
- f3 as (select rid, k, a, n, hit from c3 join e3 using (cid) where best <= case when regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') then {most_weight(BITS["hex"], WINDOW)} else {most_weight(BITS["mixed"], WINDOW)} end),
+ f3 as (select rid, k, a, n, hit from c3 join e3 using (cid) where best <= case {' '.join(f"when regexp_matches(hit, '{own}') then {most_weight(bits, WINDOW)}" for _, own, bits in CLASSES)} end),
  u as (select * from k0 union all select * from k1 union all select * from k2 union all select * from f3),
  g as (select rid, count(*) filter (k = 0) n_assign, count(*) filter (k = 1) n_access, count(*) filter (k = 2) n_hex, count(*) filter (k = 3) n_entropy,
   string_agg(['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || a || ':' || (a + n), ',' order by a, k) filter (k < 3) base,
@@ -143,6 +164,30 @@ select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access,
 from d left join g using (rid)"""
 
 
+def _marked(text: Column, hits: Column, mark: str) -> Column:
+    """The text with each run of overlapping hits (in order of start) as one mark, put together in cells of 64 hits."""
+    zero = F.lit(0).cast("long")
+    end_of = lambda cell: F.array_max(F.transform(cell, lambda h: h["end"]))
+
+    def piece(w):
+        own = F.substr(w["text"], (w["from"] + 1).cast("int"), (F.greatest(end_of(w["cell"]), w["from"]) - w["from"]).cast("int"))
+
+        def fold(z):
+            def step(s, h):
+                add = F.concat(s["out"], F.substr(z["own"], (s["at"] - z["from"] + 1).cast("int"), (h["start"] - s["at"]).cast("int")), F.lit(mark))
+                return F.struct(F.greatest(s["at"], h["end"]).alias("at"), F.when(h["start"] >= s["at"], add).otherwise(s["out"]).alias("out"))
+
+            return F.aggregate(z["cell"], F.struct(z["from"].alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+        return _let(F.struct(own.alias("own"), w["from"].alias("from"), w["cell"].alias("cell")), fold)
+
+    def over(z):
+        each = lambda cell, c: _let(F.struct(z["text"].alias("text"), cell.alias("cell"), F.coalesce(F.array_max(F.slice(z["ends"], F.lit(1), c)), zero).alias("from")), piece)
+        return F.concat(F.array_join(F.transform(z["cells"], each), ""), F.substr(z["text"], (F.array_max(z["ends"]) + 1).cast("int")))
+
+    return _let(_cells(hits), lambda cells: _let(F.struct(text.alias("text"), cells.alias("cells"), F.transform(cells, end_of).alias("ends")), over))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", mark: str = "[secret]") -> DataFrame:
     """docs, all columns, with every span of secret_scan replaced by mark; overlapping spans
     become one mark. size_col, where it exists, follows a changed text. Null texts stay null."""
@@ -150,15 +195,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_t"))
     found = secret_scan(packed, "_row", "_t").select("_row", F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))).alias("_hits"))
     text = F.col("_row")[text_col]
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(s, h):
-        fresh = h["start"] >= s["at"]
-        piece = F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), (h["start"] - s["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(s["at"], h["end"]).alias("at"), F.when(fresh, piece).otherwise(s["out"]).alias("out"))
-
-    tail = lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int")))
-    found = found.withColumn("_new", F.when(F.size("_hits") > 0, F.aggregate("_hits", start, step, tail)).otherwise(text))
+    found = found.withColumn("_new", F.when(F.size("_hits") > 0, _marked(text, F.col("_hits"), mark)).otherwise(text))
     kind = dict(docs.dtypes)
     columns = []
     for c in names:
