@@ -180,6 +180,11 @@ class MergeAutomaton:
         ids.frombytes(b"".join(out))
         return ids
 
+    def forget(self) -> None:
+        """Empty the caches, which only spare work: a worker lives through many stages."""
+        self.cache, self.older, self.held = {}, {}, 0
+        self.table.clear()
+
     def decode(self, ids) -> str:
         labels = self.labels
         return b"".join([labels[i] for i in ids]).decode("utf-8", "replace")
@@ -229,6 +234,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col:
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        auto.forget()
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = own.mapInArrow(common.trimmed(rows), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -1,7 +1,7 @@
 """Shared helpers of the training-data operators.
 
 Scratch tables go to the folder the cluster names in ``spark.checkpoint.dir``; a
-private folder is made only where that setting is missing (tests, notebooks).
+private folder is made only where that setting is missing and the master is local.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes per Arrow batch: documents can be long, so batches stay small.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 #: Bytes of words hashed at once.
 SLICE_BYTES = 1 << 16
@@ -37,11 +38,21 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     for name, value in WORKER_ENV.items():
         env.setdefault(name, value)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, value in {"maxRecordsPerBatch": BATCH_ROWS, "maxBytesPerBatch": BATCH_BYTES}.items():
+        name = f"spark.sql.execution.arrow.{name}"  # a plan reads it when it runs; smaller ones of the caller stay
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(name)) or 0) <= value:
+            spark.conf.set(name, str(value))
     return spark
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +65,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = sc._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillward-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

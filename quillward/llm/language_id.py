@@ -2,12 +2,15 @@
 
 Texts are lower-cased, everything but letters becomes one space, and a text is the set
 of its character n-grams (blended spectrum, presence only, lengths 1 to ``longest``),
-hashed to ``1 << bits`` buckets. ``k(x, y) = |x & y| / sqrt(|x| |y|)``. A Nystroem map
+hashed to ``1 << bits`` buckets. ``k(x, y) = |x & y| / sqrt(|x| |y|)``. Colliding n-grams
+count as one; a very long text fills many buckets, which lowers its kernel with every
+landmark alike, so the order of languages holds and only the score sinks. A Nystroem map
 over landmark documents of every language feeds one-versus-rest kernel ridge
 regression; scoring is one batch-by-landmarks and one landmarks-by-languages product.
 
-Training reads a bounded sample of labelled rows (``per_language`` expected rows of each
-language, by a hash of the id) whose crc32(id as text) mod ``folds`` is not 0. Whole
+Training reads a bounded sample of labelled rows (``per_language`` expected rows of each of
+the ``most_languages`` most frequent languages, by a hash of id and text, repeated rows
+once) whose crc32(id as text) mod ``folds`` is not 0. Whole
 texts are learned and scored. A text that is null or has no letter is ``und`` with score
 0. Without labelled rows every text is ``und``. Repeated rows are scored one by one.
 """
@@ -110,24 +113,26 @@ def fold_of(id_col: str, folds: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, folds: int) -> list:
-    """About per_label labelled training rows of each label, the same rows on every run."""
+def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, most_labels: int, folds: int) -> list:
+    """About per_label labelled training rows of each of the most frequent labels, the same rows on every run."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     own = own.where(F.col("label").isNotNull() & (fold_of("id", folds) != 0))
-    counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
-    if not counts:
-        return []
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000))
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 1 + 1_000_000 * per_label // n))])
-    rows = own.where(draw < limit[F.col("label")]).where("text is not null").collect()
+    counts = F.broadcast(own.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels))
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(1_000_000))
+    drawn = own.where("text is not null").join(counts, "label").where(draw < F.lit(1_000_000) * per_label / F.col("count"))
+    rows = drawn.select("id", "text", "label").dropDuplicates().collect()
     return sorted(rows, key=lambda r: (r["label"], str(r["id"]), r["text"]))
 
 
-def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250, landmarks: int = 96, longest: int = 4, bits: int = 15, ridge: float = 1e-4, sharp: float = 6.0, folds: int = 5) -> DataFrame:
-    """docs' id with held_out, lang_pred, score; one row per input row."""
+def learn(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 250, most_languages: int = 256, landmarks: int = 96, longest: int = 4, bits: int = 15, ridge: float = 1e-4, sharp: float = 6.0, folds: int = 5) -> KernelModel:
+    rows = sample(docs, id_col, text_col, lang_col, per_language, most_languages, folds)
+    return KernelModel([r["label"] for r in rows], [r["text"] for r in rows], longest, bits, max(landmarks, len({r["label"] for r in rows})), ridge, sharp)
+
+
+def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, **options) -> DataFrame:
+    """docs' id with held_out, lang_pred, score; one row per input row. options: of learn()."""
     common.ready(spark)
-    rows = sample(docs, id_col, text_col, lang_col, per_language, folds)
-    model = KernelModel([r["label"] for r in rows], [r["text"] for r in rows], longest, bits, landmarks, ridge, sharp)
+    model = learn(spark, docs, id_col, text_col, lang_col, folds=folds, **options)
     shared = spark.sparkContext.broadcast(model)  # (1 << bits) x landmarks floats: fixed by the parameters
 
     def score(batches):
@@ -140,19 +145,20 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     return own.mapInArrow(common.trimmed(score), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def drop_unknown(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """docs, all columns, without the rows whose text has no letter (null texts among them)."""
+def keep_languages(spark: SparkSession, docs: DataFrame, languages: list[str] | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """docs, all columns, whose predicted language is one of languages (all learned ones if
+    None) with at least that score. Texts without a letter (null ones too) go; where there is
+    nothing to learn from there is no decision and all rows stay."""
     common.ready(spark)
-    options = {"per_language": 250, "landmarks": 96, "longest": 4, "bits": 15, "ridge": 1e-4, "sharp": 6.0, "folds": 5} | options
-    rows = sample(docs, id_col, text_col, lang_col, options["per_language"], options["folds"])
-    model = KernelModel([r["label"] for r in rows], [r["text"] for r in rows], options["longest"], options["bits"], options["landmarks"], options["ridge"], options["sharp"])
-    if not model.names:  # nothing to learn from: no decision
+    model = learn(spark, docs, id_col, text_col, lang_col, **options)
+    if not model.names:
         return docs
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model, frozenset(model.names if languages is None else languages) - {UNKNOWN}))
 
     def keep(batches):
+        known, wanted = shared.value
         for batch in batches:
-            names, _ = shared.value.score(common.texts_of(batch.column(text_col)))
-            yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+            names, scores = known.score(common.texts_of(batch.column(text_col)))
+            yield batch.filter(pa.array([x in wanted and s >= least for x, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(common.trimmed(keep), docs.schema)

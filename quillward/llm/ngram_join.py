@@ -7,16 +7,21 @@ when ``100 * |A & B| >= percent * |A | B|``. The search is exact:
 2. All documents use one order of shingles: by hash, shingles that whole tasks saw
    often last. A partner must share ``T`` shingles, so DivideSkip's split of a query's
    lists into ``T - l`` long and ``n - T + l`` short ones makes every partner occur
-   at least ``l`` times in the short lists, which are the first of that order.
+   at least ``l`` times in the short lists, which are the first of that order. The first
+   shingle of the order that two partners share is among the first ``n - T + 1`` of both,
+   their cores.
 3. Short lists are dealt by shingle. A document with fewer than ``l`` shingles that any
-   other posts has no partner and goes; the lists are dealt again without it. Each query
-   then heap-merges its own lists (MergeSkip with bisect jumps) and keeps partners that
-   occur ``l`` times.
+   other posts has no partner and goes; the lists are dealt again without it. A list with
+   more than ``long_list`` members is set aside. A query with ``k`` such lists heap-merges
+   the others (MergeSkip with bisect jumps) and keeps partners that occur ``l - k`` times,
+   once at least.
 4. A parity bitmap of each set bounds the symmetric difference from below and drops
    pairs that cannot link; what stays is probed by binary search in the long lists.
-5. A list longer than ``long_list`` is never paired out. Each of its members is
-   checked against the list's pivot, round by round; members that are in one
-   component need nothing more. What is still apart is compared in blocks of bitmaps.
+5. Partners that the merge cannot see share only lists set aside, so both have ``l`` of
+   them and both have one in their cores: only such members of such lists are kept. They are
+   checked against the list's pivot, round by round; members that are in one component
+   need nothing more. What is still apart meets in blocks of bitmaps, by size: sets more
+   than one band of sizes apart cannot link.
 6. Components come from large-star / small-star rounds on written tables.
 
 Nulls and texts without a word have an empty set, link with nothing and are their own
@@ -28,6 +33,7 @@ Hashes stand for shingles: a wrong link needs several 64-bit collisions in one p
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -214,7 +220,7 @@ def _scan(width: int, id_col: str, text_col: str, often_from: int):
                 out["bits"].append(parity_bitmap(grams) if len(grams) else b"")
                 kept.append(grams)
                 counts += len(grams)
-            if counts > 2_000_000:
+            if counts > 1_000_000:
                 settle(False)
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(id_col).cast(pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["s1"], pa.int64()), pa.array(out["s2"], pa.int64()), pa.array(out["bits"], pa.binary())], ["kind", "id", "n", "s1", "s2", "bits"])
@@ -232,46 +238,47 @@ def _postings(width: int, text_col: str, often: np.ndarray, rank: np.ndarray, pe
     def rows(batches):
         seen: set[int] = set()  # classes this task has already posted
         for batch in batches:
-            tokens, keys, sizes = [], [], []
+            tokens, keys, sizes, core = [], [], [], []
             for grams in shingle_sets(batch.column(text_col), width):
                 if not len(grams):
                     continue
                 key = signature(grams)[0]
                 if key in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 mine = short_lists(grams, often, rank, percent)
                 tokens.append(mine)
                 keys.append(np.full(len(mine), key, np.int64))
                 sizes.append(np.full(len(mine), len(grams), np.int64))
+                core.append(np.arange(len(mine)) <= len(grams) - needed(len(grams), percent))
             if tokens:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["token", "s1", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(core))], ["token", "s1", "n", "core"])
 
     return rows
 
 
 def _shared(batches):
     """Postings, sorted by shingle, whose shingle another class posts as well."""
-    last = None  # the open posting: token, s1, n, and whether it was let out
+    last = None  # the open posting, and whether it was let out
     for batch in batches:
-        t, s, n = (batch.column(c).to_numpy() for c in ("token", "s1", "n"))
+        t, s, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("token", "s1", "n", "core"))
         if not len(t):
             continue
         if last is not None:
-            t, s, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (t, s, n), strict=True))
+            t, s, n, c = (np.concatenate([[x], y]) for x, y in zip(last[:4], (t, s, n, c), strict=True))
         fresh = np.ones(len(t), bool)  # repeats of a class under a token count once
         fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        t, s, n = t[fresh], s[fresh], n[fresh]
+        t, s, n, c = t[fresh], s[fresh], n[fresh], c[fresh]
         same = np.zeros(len(t) + 1, bool)
         same[1:-1] = t[1:] == t[:-1]
         out = same[1:] | same[:-1]
         if last is not None:
-            out[0] &= not last[3]
-        before = last is not None and len(t) == 1 and last[3]
-        last = (t[-1], s[-1], n[-1], before or bool(out[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(n[out])], ["token", "s1", "n"])
+            out[0] &= not last[4]
+        before = last is not None and len(t) == 1 and last[4]
+        last = (t[-1], s[-1], n[-1], c[-1], before or bool(out[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(n[out]), pa.array(c[out])], ["token", "s1", "n", "core"])
 
 
 def _lists(long_list: int, percent: int):
@@ -279,36 +286,35 @@ def _lists(long_list: int, percent: int):
     (kind 0), or the members of a long list one by one (kind 1)."""
 
     def rows(batches):
-        token, ids, sizes, long = None, [], [], False
+        token, ids, long = None, [], False
         out: list[tuple] = []
 
         def close():
             if not long and len(ids) > 1:
-                for i, (x, n) in enumerate(zip(ids, sizes, strict=True)):
-                    rest = [y for y, m in zip(ids[i + 1 :], sizes[i + 1 :], strict=True) if 100 * min(n, m) >= percent * max(n, m)]
+                for i, (x, n, _) in enumerate(ids):
+                    rest = [y for y, m, _ in ids[i + 1 :] if 100 * min(n, m) >= percent * max(n, m)]
                     if rest:
-                        out.append((0, token, x, n, rest))
+                        out.append((0, token, x, n, None, rest))
 
         def batch_of():
-            cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))], ["kind", "token", "s1", "n", "others"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "token", "s1", "n", "core", "others"])
 
         for batch in batches:
-            for t, s, n in zip(*(batch.column(c).to_pylist() for c in ("token", "s1", "n")), strict=True):
+            for t, s, n, c in zip(*(batch.column(x).to_pylist() for x in ("token", "s1", "n", "core")), strict=True):
                 if t != token:
                     close()
-                    token, ids, sizes, long = t, [], [], False
-                if ids and ids[-1] == s:
+                    token, ids, long = t, [], False
+                if ids and ids[-1][0] == s:
                     continue
                 if long:
-                    out.append((1, t, s, n, None))
-                    ids = [s]
+                    out.append((1, t, s, n, c, None))
+                    ids = [(s, n, c)]
                     continue
-                ids.append(s)
-                sizes.append(n)
+                ids.append((s, n, c))
                 if len(ids) > long_list:
-                    out.extend((1, t, x, m, None) for x, m in zip(ids, sizes, strict=True))
-                    long, ids, sizes = True, [s], []
+                    out.extend((1, t, x, m, d, None) for x, m, d in ids)
+                    long, ids = True, [(s, n, c)]
             if len(out) > 4096:
                 yield batch_of()
                 out = []
@@ -319,12 +325,18 @@ def _lists(long_list: int, percent: int):
     return rows
 
 
+def least_in_lists(n: int, percent: int) -> int:
+    """How many posted shingles a set of n shares with any partner: what the smallest partner needs."""
+    return least_hits(needed(n, percent))
+
+
 def _merge(percent: int):
+    """k: lists of the query that were set aside, where a partner may have occurred as well."""
     def rows(batches):
         for batch in batches:
             a, b = [], []
-            for x, n, lists in zip(*(batch.column(c).to_pylist() for c in ("s1", "n", "lists")), strict=True):
-                hits = merge_skip(lists, least_hits(needed(n, percent)))  # of the smallest partner
+            for x, n, k, lists in zip(*(batch.column(c).to_pylist() for c in ("s1", "n", "k", "lists")), strict=True):
+                hits = merge_skip(lists, max(1, least_in_lists(n, percent) - k))
                 a += [x] * len(hits)
                 b += hits
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -379,6 +391,8 @@ def _blocks(percent: int):
     def pairs(pdf):
         import pandas as pd
 
+        if not len(pdf) or pdf.comp.min() == pdf.comp.max():
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         sizes = sorted({len(x) for x in pdf.bits})
         stacks = _stacked(right.bits, sizes)
@@ -404,8 +418,9 @@ def _blocks(percent: int):
 def components(spark: SparkSession, edges: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
     """(id, comp): the smallest id reachable over edges (a, b); large-star / small-star rounds.
 
-    Ids without an edge are absent. Every round is a written table. In both stars a node's
-    row moves by a partial minimum first, so a hub is not gathered in one task.
+    Ids without an edge are absent. Every round is a written table. Minima are partial before
+    they are dealt out; the join that takes them back to a hub's edges is a plain sort-merge
+    join on the hub, which adaptive execution splits where a hub is hot.
     """
     if edges.isEmpty():
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
@@ -446,24 +461,27 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     often, rank = np.array([x for x, _ in heavy], np.uint64), np.array([x for _, x in heavy], np.int64)
     classes = scratch.keep(seen.where("kind = 0 and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")).where("rep is not null"), "classes")
 
-    posted = docs.select("text").mapInArrow(common.trimmed(_postings(width, "text", often, rank, percent)), "token long, s1 long, n long").repartition("token").sortWithinPartitions("token", "s1")
-    shared = scratch.keep(posted.mapInArrow(common.trimmed(_shared), "token long, s1 long, n long"), "shared")
+    form = "token long, s1 long, n long, core boolean"
+    posted = docs.select("text").mapInArrow(common.trimmed(_postings(width, "text", often, rank, percent)), form).repartition("token").sortWithinPartitions("token", "s1")
+    shared = scratch.keep(posted.mapInArrow(common.trimmed(_shared), form), "shared")
+    least = 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10)  # least_in_lists
     for k in range(2):  # without the documents that share too little, then without what only they shared
         hits = shared.groupBy("s1", "n").count()
-        fit = hits.where(F.col("count") >= 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10)).select("s1").distinct()
-        fit = scratch.keep(fit, f"fit-{k}")
+        fit = scratch.keep(hits.where(F.col("count") >= least).select("s1").distinct(), f"fit-{k}")
         if fit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
             fit = F.broadcast(fit)
-        again = shared.join(fit, "s1", "left_semi").select("token", "s1", "n").repartition("token").sortWithinPartitions("token", "s1")
+        again = shared.join(fit, "s1", "left_semi").select("token", "s1", "n", "core").repartition("token").sortWithinPartitions("token", "s1")
         if k == 0:
-            shared = scratch.keep(again.mapInArrow(common.trimmed(_shared), "token long, s1 long, n long"), "shared-again")
+            shared = scratch.keep(again.mapInArrow(common.trimmed(_shared), form), "shared-again")
             scratch.drop("shared")
-    posted = again
-    lists = scratch.keep(posted.mapInArrow(common.trimmed(_lists(long_list, percent)), "kind int, token long, s1 long, n long, others array<long>"), "lists")
-    merged = lists.where("kind = 0").groupBy("s1", "n").agg(F.collect_list("others").alias("lists")).mapInArrow(common.trimmed(_merge(percent)), "a long, b long")
+    lists = scratch.keep(again.mapInArrow(common.trimmed(_lists(long_list, percent)), "kind int, token long, s1 long, n long, core boolean, others array<long>"), "lists")
+    merged = lists.groupBy("s1", "n").agg(F.count_if(F.col("kind") == 1).alias("k"), F.collect_list("others").alias("lists")).where(F.size("lists") > 0)
+    merged = merged.mapInArrow(common.trimmed(_merge(percent)), "a long, b long")
     key = classes.select("s1", F.col("rep").alias("id"), "n", "bits")
     side = lambda c: key.select(F.col("s1").alias(f"s_{c}"), F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    members = lists.where("kind = 1").select("token", "s1").join(key, "s1").select("token", "id", "n", "bits")
+    aside = lists.where("kind = 1")
+    full = aside.groupBy("s1", "n").count().where(F.col("count") >= least).select("s1")  # nothing but long lists may join them
+    members = aside.where("core").select("token", "s1").join(full, "s1", "left_semi").join(key, "s1").select("token", "id", "n", "bits")
     members = scratch.keep(members, "members")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
@@ -489,8 +507,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         pivots = open_.groupBy("token").agg(F.min_by(F.struct("id", "n", "bits", "comp"), "id").alias("p")).select("token", F.col("p.id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.bits").alias("bits_a"), F.col("p.comp").alias("comp_a"))
         pivots = scratch.keep(pivots, f"pivots-{k}")
         if pivots.isEmpty():
-            with_long = False
-            break
+            break  # every member is in the component of some pivot; the blocks compare those components
         tries = open_.join(pivots, "token").where("comp <> comp_a").where(F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent)
         tries = tries.select("a", "n_a", "bits_a", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).dropDuplicates(["a", "b"])
         edges = edges.union(linked(tries.mapInArrow(common.trimmed(_bitmap_filter(percent)), "a long, b long"), f"pivot-{k}"))
@@ -498,12 +515,27 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         moved = pivots.select("token", F.col("a").alias("id")).join(comps, "id", "left").select("token", F.coalesce("comp", "id").alias("comp"))
         done = scratch.keep(done.join(comps.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("token", F.coalesce("to", "comp").alias("comp")).union(moved).distinct(), f"done-{k}")
     if with_long:
-        rest = _apart(members, comps, done.limit(0))
-        mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-        rest = rest.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        left = rest.withColumn("other", F.explode(F.expr("sequence(part, parts - 1)"))).select("token", F.col("part").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "n", "comp", "bits")
-        right = rest.withColumn("other", F.explode(F.expr("sequence(0, part)"))).select("token", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "id", "n", "comp", "bits")
-        met = left.union(right).groupBy("token", "i", "j").applyInPandas(_blocks(percent), "a long, b long").distinct()
+        # A wider step than percent allows between partners, so float order never parts two of them by more than one band.
+        band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.col("n")).cast("int")
+        rest = _apart(members, comps, done.limit(0)).withColumn("band", band)
+        mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("mark")).where("lo <> hi")
+        mixed = mixed.groupBy("size", "mark", "lo", "hi").agg(F.min("token").alias("token")).select("token")  # lists with the same members are one
+        rest = scratch.keep(rest.join(mixed, "token", "left_semi"), "rest")
+        parts = rest.groupBy("token", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        above = parts.select("token", (F.col("band") - 1).alias("band"), F.col("parts").alias("parts_up"))
+        below = parts.select("token", (F.col("band") + 1).alias("band"), F.col("parts").alias("parts_down"))
+        own = rest.join(parts.join(above, ["token", "band"], "left").join(below, ["token", "band"], "left"), ["token", "band"])
+        own = own.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        cell = lambda i, up, j, side: F.struct(i.cast("int").alias("i"), F.lit(up).alias("up"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+        until = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("array()").cast("array<int>"))
+        meets = F.concat(
+            F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: cell(F.col("part"), 0, j, 0)),
+            F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: cell(i, 0, F.col("part"), 1)),
+            F.transform(until(F.coalesce("parts_up", F.lit(0))), lambda j: cell(F.col("part"), 1, j, 0)),
+            F.transform(until(F.coalesce("parts_down", F.lit(0))), lambda i: cell(i, 1, F.col("part"), 1)),
+        )
+        cells = own.select("token", "band", "id", "n", "comp", "bits", F.explode(meets).alias("m")).select("token", F.when((F.col("m.up") == 1) & (F.col("m.side") == 1), F.col("band") - 1).otherwise(F.col("band")).alias("low"), "m.up", "m.i", "m.j", "m.side", "id", "n", "comp", "bits")
+        met = cells.groupBy("token", "low", "up", "i", "j").applyInPandas(_blocks(percent), "a long, b long").distinct()
         found = linked(met, "block")
         if not found.isEmpty():
             comps = components(spark, edges.union(found), scratch, "comp-last")
@@ -524,16 +556,21 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     """docs, all columns, with one row per component: its smallest id.
 
     Ids to drop are broadcast up to BROADCAST_IDS, else joined by shuffle. Of rows that
-    repeat an id one stays; rows with a null id stay.
+    repeat an id the one with the smallest text stays, of those the one with the smallest
+    hash of its columns; rows with a null id stay.
     """
     scratch = common.Scratch(spark, "keep-first")
-    found = scratch.keep(ngram_join(spark, docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), "component_id"), "components")
-    gone = found.where("_id <> component_id").select("_id").distinct()
+    own = common.fresh(docs, "kept_id")
+    found = scratch.keep(ngram_join(spark, docs, id_col, text_col, **options).select(F.col(id_col).alias(own), "component_id"), "components")
+    gone = found.where(F.col(own) != F.col("component_id")).select(own).distinct()
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")
-    twice = found.where("_id is not null and _id = component_id").groupBy("_id").count().where("count > 1").select("_id")
+    kept = docs.join(gone, docs[id_col] == gone[own], "left_anti")
+    twice = scratch.keep(found.where(F.col(own) == F.col("component_id")).groupBy(own).count().where("count > 1").select(own), "twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, kept[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, kept[id_col] == F.col("_id"), "left_anti").unionByName(again)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    again = kept.join(twice, kept[id_col] == twice[own], "left_semi").groupBy(F.col(f"`{id_col}`").alias(own))
+    again = again.agg(F.min_by(F.struct(*names), F.struct(F.col(f"`{text_col}`"), F.xxhash64(*plain))).alias("row")).select("row.*")
+    return kept.join(twice, kept[id_col] == twice[own], "left_anti").unionByName(again)
