@@ -1,6 +1,6 @@
 """A training-data pipeline: five stages over documents, each written and read again.
 
-Language ID drops documents without a language, the n-gram Jaccard join keeps one
+Language ID keeps documents in a learned language, the n-gram Jaccard join keeps one
 document of each group of near copies, decontamination drops documents that leak a
 benchmark item, secret scans replace what they find by a mark, and BPE encodes what is
 left. All stages but the last return the columns of documents.
@@ -16,9 +16,13 @@ from quillward.llm.common import Scratch, ready, table
 from quillward.llm.queries import vocabulary_path
 
 
+#: Score below which a predicted language is no better than a guess.
+LEAST_LANGUAGE = 0.3
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without any letter go."""
-    return language_id.drop_unknown(spark, docs)
+    """Documents whose predicted language is one of the learned ones and scores LEAST_LANGUAGE; texts without a letter go."""
+    return language_id.keep_languages(spark, docs, least=LEAST_LANGUAGE)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
