@@ -5,12 +5,15 @@ texts. A text is cut into pieces of ``piece`` bytes (the whole text, so its leng
 matter), every piece is compressed with each dictionary, and two normalised differences of the
 summed sizes, ``(bad - good) / (bad + good)`` and ``(good - raw) / (good + raw)``, go through
 a logistic curve that was fitted on sampled texts outside the dictionaries and moved to the
-label share of the data.
+label share of the data. Size of pieces and dictionaries is the one of ``OPTIONS`` with the least
+log loss on a third part of the sample; rows outside the training folds take no part in it.
 
 Only labelled rows whose crc32(id as text) mod ``folds`` is not 0 are learned from, at
-most about ``per_label`` of each label (a documented bound, drawn by a hash of the id).
-Null and empty texts get the share of good labels as score; with one label or none every
-text gets it. Repeated rows are scored one by one.
+most about ``per_label`` ids of each label (a documented bound, drawn by a hash of the id). An id
+with several labels has the one of most rows (1 in a tie), an id with several texts the
+smallest. Null and empty texts get the share of good labels as score; with one label or none
+every text gets it. Any number of texts of both labels makes a model: where a label has fewer
+than three, they serve in every part. Repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -27,21 +30,41 @@ from quillward.llm import common
 from quillward.llm.language_id import fold_of
 
 
+#: Bytes of a piece and of a dictionary.
+OPTIONS = [(512, 32768), (1024, 32768), (512, 65536), (2048, 65536)]
+
+
 class CompressionModel:
-    def __init__(self, good: list[str], bad: list[str], share: float, size: int, piece: int, level: int):
+    def __init__(self, good: list[str], bad: list[str], share: float, options: list[tuple[int, int]], level: int):
         """share: of good labels in the data; the samples need not have it."""
-        self.piece, self.level, self.share = piece, level, min(max(share, 1e-4), 1 - 1e-4)
+        self.level, self.share = level, min(max(share, 1e-4), 1 - 1e-4)
         self.dicts: list[bytes] = []
         self.beta = np.zeros(4)
-        if min(len(good), len(bad)) < 8:
+        if not good or not bad:
             return
-        for texts in (good, bad):
-            parts = [p for t in texts[::2] for p in self.pieces(t)]
-            try:
-                self.dicts.append(zstandard.train_dictionary(size, parts).as_bytes())
-            except zstandard.ZstdError:  # too little text to train on: the text itself serves
-                self.dicts.append(b"".join(parts)[-size:])
-        self.beta = self.fit([self.inputs(t) for t in good[1::2]], [self.inputs(t) for t in bad[1::2]])
+        part = lambda texts, k: texts[k::3] or texts
+        tried = []
+        for piece, size in options:
+            self.piece = piece
+            self.dicts = [self.dictionary([p for t in part(x, 0) for p in self.pieces(t)], size) for x in (good, bad)]
+            self.__dict__.pop("tools", None)
+            (fit_good, fit_bad), (try_good, try_bad) = ([[self.inputs(t) for t in part(x, k)] for x in (good, bad)] for k in (1, 2))
+            loss = self.loss(self.fit(fit_good, fit_bad), try_good, try_bad)
+            tried.append((loss, len(tried), piece, self.dicts, self.fit(fit_good + try_good, fit_bad + try_bad)))
+        _, _, self.piece, self.dicts, self.beta = min(tried, key=lambda x: x[:2])
+        self.__dict__.pop("tools", None)
+
+    @staticmethod
+    def dictionary(parts: list[bytes], size: int) -> bytes:
+        try:
+            return zstandard.train_dictionary(size, parts).as_bytes()
+        except zstandard.ZstdError:  # too little text to train on: the text itself serves
+            return b"".join(parts)[-size:]
+
+    @staticmethod
+    def loss(beta: np.ndarray, good: list[list[float]], bad: list[list[float]]) -> float:
+        """Mean log loss, both labels weighing the same."""
+        return float(sum(np.logaddexp(0, sign * np.clip(np.array(x) @ beta, -30, 30)).mean() for sign, x in ((-1, good), (1, bad))))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "tools"}
@@ -91,24 +114,25 @@ class CompressionModel:
         return round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 6)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, folds: int, size: int, piece: int, level: int) -> CompressionModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, folds: int, options: list[tuple[int, int]], level: int) -> CompressionModel:
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold_of("id", folds) != 0))
+    own = own.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     if not counts:
-        return CompressionModel([], [], 0.5, size, piece, level)
+        return CompressionModel([], [], 0.5, options, level)
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000))
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 1 + 1_000_000 * per_label // n))])
-    drawn = own.where(draw < limit[F.col("label")]).dropDuplicates(["id"])  # about 2 * per_label ids
+    drawn = own.where(draw < limit[F.col("label")])  # about 2 * per_label ids
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''")
-    rows = sorted(texts.join(F.broadcast(drawn), "id").collect(), key=lambda r: (r["id"], r["text"]))
+    rows = sorted(texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect(), key=lambda r: r["id"])
     share = counts.get(1, 0) / sum(counts.values())
-    return CompressionModel([r["text"] for r in rows if r["label"] == 1], [r["text"] for r in rows if r["label"] == 0], share, size, piece, level)
+    return CompressionModel([r["text"] for r in rows if r["label"] == 1], [r["text"] for r in rows if r["label"] == 0], share, options, level)
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 500, folds: int = 5, size: int = 32768, piece: int = 512, level: int = 3, threshold: float = 0.3) -> DataFrame:
-    """(id, held_out, score, predicted) for every row of docs."""
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 500, folds: int = 5, options: list[tuple[int, int]] = OPTIONS, level: int = 3, threshold: float = 0.3) -> DataFrame:
+    """(id, held_out, score, predicted) for every row of docs. options: sizes of pieces and dictionaries to choose from."""
     common.ready(spark)
-    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, per_label, folds, size, piece, level))
+    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, per_label, folds, options, level))
 
     def rows(batches):
         model = shared.value
@@ -117,4 +141,4 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], ["id", "held_out", "score", "predicted"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), (fold_of(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(rows, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return own.mapInArrow(common.trimmed(rows), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
