@@ -1,12 +1,14 @@
 """Media columns for ISO base media files (MP4 family).
 
 ``probe`` walks nested boxes, decodes the sample tables of every track and gives codec,
-duration and the byte ranges of key frames; payload bytes are never decoded. ``store``
-writes a payload losslessly as 8-bit PCM samples in one track, and ``read_back`` follows
+duration and the byte ranges of key frames; payload bytes are never decoded. Samples of
+fragments follow those of the sample tables. Where no sync table marks samples every one is a
+key frame, and those that stand side by side in a chunk are one range. ``store`` writes a payload losslessly as 8-bit PCM samples in one track, and ``read_back`` follows
 the tables to the stored bytes.
 
 Null texts are empty: their payload is one block of zero bytes. Damaged or foreign bytes
-give a row with ``error`` set and null columns, never a failure. Equal bytes give equal
+give a row with ``error`` set and null columns, never a failure: tables are read in the form
+they have, so a count that the file cannot hold takes no memory. Equal bytes give equal
 rows; repeated rows keep one row each. Sizes over 4 GiB use 64-bit boxes.
 """
 
@@ -16,6 +18,7 @@ import hashlib
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,65 +118,181 @@ def tree(data: memoryview, at: int, end: int, path: tuple = (), depth: int = 0):
             yield from tree(data, a + NESTED[kind], e, (*path, kind), depth + 1)
 
 
-def _rows(data: memoryview, at: int, end: int, form: str, skip: int = 4) -> list[tuple]:
+def _table(data: memoryview, at: int, end: int, kinds: str, columns: int, skip: int = 4) -> np.ndarray:
+    """The entries of a counted table, a row each."""
     count = struct.unpack_from(">I", data, at + skip)[0]
-    size = struct.calcsize(form)
-    if at + skip + 4 + count * size > end:
+    first, size = at + skip + 4, np.dtype(kinds).itemsize * columns
+    if first + count * size > end:
         raise ValueError("table longer than its box")
-    return list(struct.iter_unpack(form, data[at + skip + 4 : at + skip + 4 + count * size]))
+    return np.frombuffer(data[first : first + count * size], kinds).reshape(count, columns).astype(np.int64)
+
+
+class Track:
+    """Handler, codec, times, and samples as chunks: where they begin, their samples and where these end."""
+
+    def __init__(self):
+        self.handler, self.codec, self.timescale, self.duration, self.id = "", "", 0, 0, 0
+        self.same, self.count, self.sizes = 0, 0, None  # one size of all samples, or a size each
+        self.offsets, self.runs, self.sync = np.zeros(0, np.int64), np.zeros((0, 3), np.int64), None
+        self.fragments: list[tuple[int, int, int, bool]] = []  # offset, size, samples, key frame
+
+    def settle(self, length: int) -> None:
+        """Chunks from the tables; all must lie inside the file."""
+        if self.sizes is not None:
+            self.count = len(self.sizes)
+            self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        elif self.count * max(1, self.same) > max(length, 0):
+            raise ValueError("more samples than the file holds")
+        first = self.runs[:, 0] - 1
+        if len(first) and (first[0] != 0 or (np.diff(first) <= 0).any() or first[-1] >= max(1, len(self.offsets)) or (self.runs[:, 1] < 0).any()):
+            raise ValueError("chunk runs out of order")
+        per = np.repeat(self.runs[:, 1], np.diff(np.append(first, len(self.offsets)))) if len(first) else np.zeros(0, np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(per)])  # samples before each chunk
+        if len(per) != len(self.offsets) or self.begins[-1] != self.count:
+            raise ValueError("sample tables do not fit the file")
+        self.bytes = self.before(self.begins[1:]) - self.before(self.begins[:-1])
+        if ((self.offsets < 0) | (self.offsets + self.bytes > length)).any() or any(o < 0 or o + n > length for o, n, _, _ in self.fragments):
+            raise ValueError("samples beyond the file")
+        if self.sync is not None and len(self.sync) and not (0 <= self.sync.min() and self.sync.max() < self.count):
+            raise ValueError("key frame beyond the samples")
+
+    def before(self, k: np.ndarray) -> np.ndarray:
+        """Bytes of all samples before the k-th."""
+        return self.ends[k] if self.sizes is not None else np.asarray(k) * self.same
 
+    def samples(self) -> int:
+        return self.count + sum(n for _, _, n, _ in self.fragments)
 
-def tracks(data: bytes) -> list[dict]:
-    """Per track: handler, codec, timescale, duration, samples [(offset, size)], keys [sample index]."""
-    view, out = memoryview(data), []
+    def keys(self) -> list[tuple[int, int]]:
+        """(offset, size) of key frames."""
+        if self.sync is None:
+            own = [(o, n) for o, n in zip(self.offsets.tolist(), self.bytes.tolist(), strict=True) if n]
+        else:
+            chunk = np.searchsorted(self.begins, self.sync, side="right") - 1
+            at = self.offsets[chunk] + self.before(self.sync) - self.before(self.begins[chunk])
+            own = list(zip(at.tolist(), (self.before(self.sync + 1) - self.before(self.sync)).tolist(), strict=True))
+        return own + [(o, n) for o, n, _, key in self.fragments if key]
+
+    def ranges(self) -> list[tuple[int, int]]:
+        return list(zip(self.offsets.tolist(), self.bytes.tolist(), strict=True)) + [(o, n) for o, n, _, _ in self.fragments]
+
+
+def _sizes(view: memoryview, a: int, e: int, kind: bytes, t: Track) -> None:
+    if kind == b"stsz":
+        t.same, t.count = struct.unpack_from(">II", view, a + 4)
+        if not t.same:
+            t.sizes = _table(view, a, e, ">u4", 1, 8)[:, 0]
+        return
+    bits = view[a + 7]
+    if bits not in (4, 8, 16):
+        raise ValueError("unknown sample size field")
+    if bits == 4:
+        count = struct.unpack_from(">I", view, a + 8)[0]
+        if a + 12 + (count + 1) // 2 > e:
+            raise ValueError("table longer than its box")
+        pairs = np.frombuffer(view[a + 12 : a + 12 + (count + 1) // 2], np.uint8)
+        t.sizes = np.stack([pairs >> 4, pairs & 15], 1).ravel()[:count].astype(np.int64)
+    else:
+        t.sizes = _table(view, a, e, f">u{bits // 8}", 1, 8)[:, 0]
+
+
+#: Optional fields of fragment headers by flag, in order (fixed values of the format).
+HEADER_FIELDS = [(1, "base", ">Q"), (2, "description", ">I"), (8, "duration", ">I"), (16, "size", ">I"), (32, "flags", ">I")]
+RUN_FIELDS = [(0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")]
+NOT_SYNC = 0x10000
+
+
+def _fragment(view: memoryview, start: int, a: int, e: int, by_id: dict, defaults: dict) -> None:
+    """Samples of one track fragment of the moof box that starts at start."""
+    head, at = {}, start
+    for kind, x, y in boxes(view, a, e):
+        flags = struct.unpack_from(">I", view, x)[0] & 0xFFFFFF
+        if kind == b"tfhd":
+            track = struct.unpack_from(">I", view, x + 4)[0]
+            head, place = dict(defaults.get(track, {})), x + 8
+            for bit, name, form in HEADER_FIELDS:
+                if flags & bit:
+                    head[name] = struct.unpack_from(form, view, place)[0]
+                    place += struct.calcsize(form)
+            head["track"], at = track, head.get("base", start)
+        elif kind == b"trun" and head.get("track") in by_id:
+            t, place = by_id[head["track"]], x + 8
+            count = struct.unpack_from(">I", view, x + 4)[0]
+            if flags & 1:
+                at = head.get("base", start) + struct.unpack_from(">i", view, place)[0]
+                place += 4
+            first = None
+            if flags & 4:
+                first = struct.unpack_from(">I", view, place)[0]
+                place += 4
+            fields = [name for bit, name in RUN_FIELDS if flags & bit]
+            if place + 4 * len(fields) * count > y:
+                raise ValueError("fragment table longer than its box")
+            size, own = head.get("size", 0), head.get("flags", 0)
+            if "size" not in fields and "flags" not in fields and (not fields or count):
+                if count * max(1, size) > len(view):
+                    raise ValueError("more samples than the file holds")
+                lead = 1 if first is not None and count else 0
+                if lead:
+                    t.fragments.append((at, size, 1, not first & NOT_SYNC))
+                if count > lead:
+                    t.fragments.append((at + lead * size, (count - lead) * size, count - lead, not own & NOT_SYNC))
+                at += count * size
+                continue
+            cells = np.frombuffer(view[place : place + 4 * len(fields) * count], ">u4").reshape(count, -1).astype(np.int64).tolist()
+            for k, cell in enumerate(cells):
+                row = dict(zip(fields, cell, strict=True))
+                n = row.get("size", size)
+                mark = first if first is not None and not k else row.get("flags", own)
+                t.fragments.append((at, n, 1, not mark & NOT_SYNC))
+                at += n
+
+
+def tracks(data: bytes) -> list[Track]:
+    view, out, fragments, defaults = memoryview(data), [], [], {}
+    moof = 0
     for path, a, e in tree(view, 0, len(view)):
         kind = path[-1]
         if kind == b"trak":
-            out.append({"handler": "", "codec": "", "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "keys": None, "times": []})
+            out.append(Track())
+        elif kind == b"moof":
+            moof = a - 8
+        elif kind == b"traf":
+            fragments.append((moof, a, e))
+        elif kind == b"trex":
+            track, _, _, size, flags = struct.unpack_from(">5I", view, a + 4)
+            defaults[track] = {"size": size, "flags": flags}
         if b"trak" not in path or not out:
             continue
         t = out[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t.id = struct.unpack_from(">I", view, a + (20 if view[a] == 1 else 12))[0]
+        elif kind == b"mdhd":
             wide = view[a] == 1
-            t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
+            t.timescale, t.duration = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
         elif kind == b"hdlr" and b"mdia" in path:
-            t["handler"] = bytes(view[a + 8 : a + 12]).decode("latin-1")
+            t.handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
         elif kind == b"stsd":
-            t["codec"] = next((k.decode("latin-1") for k, _, _ in boxes(view, a + 8, e)), "")
-        elif kind == b"stts":
-            t["times"] = _rows(view, a, e, ">II")
+            t.codec = next((k.decode("latin-1") for k, _, _ in boxes(view, a + 8, e)), "")
         elif kind == b"stss":
-            t["keys"] = [k - 1 for (k,) in _rows(view, a, e, ">I")]
+            t.sync = _table(view, a, e, ">u4", 1)[:, 0] - 1
         elif kind == b"stsc":
-            t["runs"] = _rows(view, a, e, ">III")
-        elif kind == b"stsz":
-            same, count = struct.unpack_from(">II", view, a + 4)
-            t["sizes"] = [same] * count if same else [s for (s,) in _rows(view, a, e, ">I", 8)]
+            t.runs = _table(view, a, e, ">u4", 3)
+        elif kind in (b"stsz", b"stz2"):
+            _sizes(view, a, e, kind, t)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = [c for (c,) in _rows(view, a, e, ">I" if kind == b"stco" else ">Q")]
+            t.offsets = _table(view, a, e, ">u4" if kind == b"stco" else ">i8", 1)[:, 0]
+    by_id = {t.id: t for t in out}
+    for start, a, e in fragments:
+        _fragment(view, start, a, e, by_id, defaults)
     for t in out:
-        samples, k = [], 0
-        for i, (first, per, _) in enumerate(t["runs"]):
-            last = t["runs"][i + 1][0] if i + 1 < len(t["runs"]) else len(t["chunks"]) + 1
-            for c in range(first - 1, last - 1):
-                at = t["chunks"][c]
-                for s in t["sizes"][k : k + per]:
-                    samples.append((at, s))
-                    at += s
-                k += per
-        if len(samples) != len(t["sizes"]) or any(o + s > len(data) for o, s in samples):
-            raise ValueError("sample tables do not fit the file")
-        t["samples"] = samples
-        if t["keys"] is None:  # no table: every sample is a key frame
-            t["keys"] = list(range(len(samples)))
-        if any(not 0 <= k < len(samples) for k in t["keys"]):
-            raise ValueError("key frame beyond the samples")
+        t.settle(len(data))
     return out
 
 
 def read_back(data: bytes) -> bytes:
     """The stored samples of the first track, in order."""
-    return b"".join(data[o : o + s] for o, s in tracks(data)[0]["samples"])
+    return b"".join(data[o : o + s] for o, s in tracks(data)[0].ranges())
 
 
 PROBE = "codec string, handler string, timescale long, duration long, samples long, keyframes array<struct<offset:long,size:long>>, error string"
@@ -187,10 +306,10 @@ def probe_one(data: bytes | None) -> dict:
         found = tracks(data)
         if not found:
             return none | {"error": "no track"}
-        t = next((t for t in found if t["handler"] == "vide"), found[0])
-        keys = [{"offset": o, "size": s} for o, s in (t["samples"][k] for k in t["keys"])]
-        return {"codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration": t["duration"], "samples": len(t["samples"]), "keyframes": keys, "error": None}
-    except (ValueError, struct.error, IndexError) as e:
+        t = next((t for t in found if t.handler == "vide"), found[0])
+        keys = [{"offset": o, "size": s} for o, s in t.keys()]
+        return {"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "samples": t.samples(), "keyframes": keys, "error": None}
+    except (ValueError, struct.error, IndexError, OverflowError) as e:
         return none | {"error": str(e)[:200]}
 
 
@@ -232,4 +351,4 @@ def store_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]], ["id", *names[: 7 + keep_media]])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(rows, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media).withColumnRenamed("id", id_col)
+    return own.mapInArrow(common.trimmed(rows), "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media).withColumnRenamed("id", id_col)
