@@ -1,9 +1,10 @@
 """License scans by template markup.
 
 A template is wording with optional regions ``<<opt>> ... <<end>>`` (they may nest) and
-replaceable ones ``<<var:N>>`` (zero to N words of any wording). Both compile into a
-token automaton: an arc per mandatory word, an empty arc around an optional region, N
-skippable any-word arcs for a replaceable one. A text is accepted where the automaton
+replaceable ones: ``<<var:N>>`` (zero to N words of any wording) and ``<<var:N:a|b>>`` (zero
+to N of the listed words). Both compile into a token automaton: an arc per mandatory word,
+an empty arc around an optional region, N skippable arcs of any or of the listed words for a
+replaceable one. Templates hold the whole wording of a license or of its notice. A text is accepted where the automaton
 reads consecutive words with the mandatory wording exactly as given; case, punctuation
 and white space between words do not count.
 
@@ -26,22 +27,32 @@ from quillward.llm import common
 #: Base phrases and labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Template markup by label: short notices and the mandatory parts of well-known licenses.
+#: Parts of licenses that several have (fixed wording).
+BSD_HEAD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var:1:1|a|i>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<var:1:2|b|ii>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_THIRD = "<<var:1:3|c|iii>> neither the name of <<var:12>> nor the names of <<var:3:its|the|their|other>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_TAIL = "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+ISC_TAIL = "the software is provided as is and <<var:8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var:8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+USE = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+
+#: Template markup by label: notices and whole texts of well-known licenses (fixed wording).
 TEMPLATES = {
+    "0bsd": f"{USE} {ISC_TAIL}",
     "apache-2.0": "licensed under the apache license<<opt>> version<<end>> 2 0",
-    "apache-notice": "you may not use this file except in compliance with the license<<opt>> you may obtain a copy of the license at <<var:12>><<end>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var:1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<var:1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "apache-notice": "you may not use this file except in compliance with the license<<opt>> you may obtain a copy of the license at <<var:12>><<end>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd-2-clause": f"{BSD_HEAD} {BSD_TAIL}",
+    "bsd-3-clause": f"{BSD_HEAD} {BSD_THIRD} {BSD_TAIL}",
     "cc-by-nc": "licensed under<<opt>> a<<end>><<opt>> the<<end>> cc by nc<<opt>> <<var:2>><<end>>",
     "cc-by-nc-sa": "licensed under<<opt>> a<<end>><<opt>> the<<end>> cc by nc sa<<opt>> <<var:2>><<end>>",
     "cc-by-sa": "licensed under<<opt>> a<<end>><<opt>> the<<end>> cc by sa<<opt>> <<var:2>><<end>>",
     "gpl-2.0": "licensed under the gnu general public license<<opt>> version<<end>> 2",
     "gpl-3.0": "licensed under the gnu general public license<<opt>> version<<end>> 3",
-    "gpl-notice": "this <<var:4>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation<<opt>> either version <<var:1>> of the license or at your option any later version<<end>>",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "gpl-notice": "this <<var:4>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation<<opt>> either<<end>> version <<var:1:2|3>> of the license<<opt>> or at your option any later version<<end>> this <<var:4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "isc": f"{USE} provided that the above copyright notice and this permission notice appear in all copies {ISC_TAIL}",
     "mit-notice": "<<opt>>released <<end>><<opt>>licensed <<end>>under the<<opt>> terms of the<<end>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice<<opt>> including the next paragraph<<end>> shall be included in all copies or substantial portions of the software",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mit-text": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice<<opt>> including the next paragraph<<end>> shall be included in all copies or substantial portions of the software {AS_IS}",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var:1:http|https>> mozilla org mpl 2 0",
+    "unlicense": f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {AS_IS}<<opt>> for more information please refer to <<var:1:http|https>> unlicense org<<end>>",
 }
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -56,16 +67,16 @@ def word_keys(text: str) -> np.ndarray:
 
 
 def parse(markup: str) -> list:
-    """Template markup as a tree: a word, ("var", N), or ("opt", [...])."""
+    """Template markup as a tree: a word, ("var", N, words or ()), or ("opt", [...])."""
     stack: list[list] = [[]]
-    for m in re.finditer(r"<<opt>>|<<end>>|<<var:(\d+)>>|[0-9a-z]+", markup):
+    for m in re.finditer(r"<<opt>>|<<end>>|<<var:(\d+)(?::([0-9a-z|]+))?>>|[0-9a-z]+", markup):
         if m[0] == "<<opt>>":
             stack.append([])
         elif m[0] == "<<end>>":
             done = stack.pop()
             stack[-1].append(("opt", done))
         elif m[1]:
-            stack[-1].append(("var", int(m[1])))
+            stack[-1].append(("var", int(m[1]), tuple(m[2].split("|")) if m[2] else ()))
         else:
             stack[-1].append(m[0])
     if len(stack) != 1:
@@ -105,7 +116,10 @@ class TokenAutomaton:
                 for _ in range(part[1]):
                     to = self._new()
                     self.empty[at].append(end)
-                    self.free[at] = to
+                    if part[2]:
+                        self.words[at] |= {int(word_keys(w)[0]): to for w in part[2]}
+                    else:
+                        self.free[at] = to
                     at = to
                 self.empty[at].append(end)
                 at = end
@@ -200,13 +214,13 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_templates", "matches"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(rows, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long, matches array<struct<start:long,end:long,label:string>>").withColumnRenamed("id", id_col)
+    return own.mapInArrow(common.trimmed(rows), "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long, matches array<struct<start:long,end:long,label:string>>").withColumnRenamed("id", id_col)
 
 
 def _regex(parts: list) -> str:
     out = ""
     for p in parts:
-        out += f"{p} " if isinstance(p, str) else f"(?:[^ ]+ ){{0,{p[1]}}}" if p[0] == "var" else f"(?:{_regex(p[1])})?"
+        out += f"{p} " if isinstance(p, str) else f"(?:(?:{'|'.join(p[2]) or '[^ ]+'}) ){{0,{p[1]}}}" if p[0] == "var" else f"(?:{_regex(p[1])})?"
     return out
 
 
