@@ -45,7 +45,7 @@ LATER = regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", LA
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds per Python worker: bytes of each of two word caches (an entry counts ENTRY bytes
 #: beside its word), bytes of a cached word, and cells of the arc table kept.
-CACHE_BYTES, ENTRY, CACHED_BYTES, CELLS = 8 << 20, 192, 64, 150_000
+CACHE_BYTES, ENTRY, CACHED_BYTES, CELLS = 16 << 20, 192, 64, 340_000
 LEAF: dict = {}
 
 
