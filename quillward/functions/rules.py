@@ -49,7 +49,16 @@ PHRASE_RULES = [
     ("Markdown heading impersonation", r"^\s*#{1,6}\s+(?:System|Assistant|User|Human|AI|Bot|Admin|Developer|Operator|Moderator|Agent|Tool|Function|Plugin|Skill|Workflow|Orchestrator|Subagent)\s*:", "im", "warning"),
 ]
 
+#: Lower-case pieces, one of which a text must hold for the rule of that place to match; they follow from the patterns.
+PHRASE_PIECES = [
+    ["ignore"], ["disregard"], ["forget"], ["now"], ["act"], ["pretend"], ["instruction"], ["system"], ["["], ["mode", "access", "override"], ["not"], ["override"], ["bypass"], ["jailbreak"],
+    ["prompt", "instruction", "rule", "guideline"], ["what"], ["begin"], ["end"], [">"], ["{{"], ["eval", "exec", "function"], ["drop", "delete", "insert", "update"], ["<|im_start|>"], ["<|start_header_id|>"],
+    ["<|im_start|>"], ["<|im_end|>"], ["[inst]"], ["[/inst]"], ["<|system|>"], ["<|user|>"], ["<|assistant|>"], ["<|start_header_id|>"], ["<|end_header_id|>"], ["<|begin_of_text|>"], ["<|end_of_text|>"], ["<|eot_id|>"],
+    ["human:"], ["assistant:"], ["###"], ["###"], ["<<sys>>"], ["<</sys>>"], ["#"],
+]
+
 #: Rules that count as noise in transcripts below three hits.
+TRANSCRIPT_LEAST = 3
 NOISE = ["Conversation turn marker", "Alpaca format marker", "Llama2 system marker", "Markdown heading impersonation"]
 
 #: Code point classes, as bodies of a bracket expression.
@@ -107,15 +116,75 @@ FORMULA_RULES = [
     ("Excel macro registration function", r"\b(?:DDE|DDEAUTO|CALL|REGISTER|EXEC|RTD)\s*\("),
 ]
 
-#: Markup rules of vector images (technique, pattern, severity).
+#: Markup rules of vector images (technique, pattern, severity); a last test on what the pattern
+#: finds is in operators/markup.py.
 SVG_RULES = [
-    ("svg-script-element", r"<script", "danger"),
-    ("svg-event-handler", r"\son[a-z]+\s*=", "danger"),
-    ("svg-javascript-href", r"href\s*=\s*[\"']?\s*javascript:", "danger"),
-    ("svg-foreignobject-html", r"<foreignObject", "warning"),
-    ("svg-cdata-section", r"<!\[CDATA\[", "warning"),
+    ("svg-script-element", r"<script\b[^>]*>", "danger"),
+    ("svg-event-handler", r"\s(on[a-z]{1,30})\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", "danger"),
+    ("svg-javascript-href", r"\s(?:xlink:href|href)\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>]+))", "danger"),
+    ("svg-foreignobject-html", r"<foreignObject\b[^>]*>", "warning"),
+    ("svg-cdata-section", r"<!\[CDATA\[([\x00-\x{10FFFF}]*?)\]\]>", "warning"),
+    ("svg-use-external-ref", r"<use\b([^>]*)>", "warning"),
+]
+SVG_CAP, SVG_MOST = 32, 5 << 20
+
+#: Styles that hide an element that has text (pattern, technique).
+ELEMENT_STYLES = [
+    (r"display\s*:\s*none", "display: none"),
+    (r"visibility\s*:\s*hidden", "visibility: hidden"),
+    (r"opacity\s*:\s*0(?:[;\s]|$)", "opacity: 0"),
+    (r"font-size\s*:\s*[0-1](?:\.[0-9]+)?px", "Microscopic font-size"),
+    (r"color\s*:\s*(?:white|#fff(?:fff)?|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\))\s*;?.*background(?:-color)?\s*:\s*(?:white|#fff(?:fff)?|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\))", "White text on white background"),
+    (r"color\s*:\s*(?:transparent|rgba\(\s*[0-9]+\s*,\s*[0-9]+\s*,\s*[0-9]+\s*,\s*0\s*\))", "Transparent text"),
+    (r"position\s*:\s*absolute.*(?:left|top)\s*:\s*-[0-9]{3,}", "Off-screen positioning"),
+    (r"text-indent\s*:\s*-[0-9]{3,}", "text-indent off-screen"),
+    (r"overflow\s*:\s*hidden.*(?:width|height)\s*:\s*0", "Zero-size overflow hidden"),
 ]
-SVG_CAP = 32
+
+#: Hosts of images (with all below them), hosts of user content (themselves only), and trusted hosts (with all below them).
+IMAGE_HOSTS = "raw.githubusercontent.com user-images.githubusercontent.com camo.githubusercontent.com gist.githubusercontent.com img.shields.io images.unsplash.com i.imgur.com upload.wikimedia.org cdn.jsdelivr.net unpkg.com placehold.co placeholder.com placekitten.com i.ytimg.com img.youtube.com cdn.discordapp.com media.discordapp.net pbs.twimg.com images.zenn.dev qiita-image-store.s3.amazonaws.com qiita-user-contents.imgix.net cdn.qiita.com assets.st-note.com lh3.googleusercontent.com images.ctfassets.net mermaid.ink quickchart.io mdn-imagestore.mdn.mozilla.net embed-fastly.wistia.com media.licdn.com nostr.build".split()
+CONTENT_HOSTS = "github.com gist.github.com imgur.com wikipedia.org wikimedia.org unsplash.com notion.so youtube.com developer.mozilla.org qiita.com zenn.dev".split()
+TRUSTED_HOSTS = "google-analytics.com googletagmanager.com analytics.google.com stats.g.doubleclick.net doubleclick.net mixpanel.com segment.io segment.com amplitude.com hotjar.com hubspot.com klaviyo.com marketo.com bing.com fbcdn.net stripe.com auth0.com okta.com twilio.com sendgrid.net mailgun.org postmarkapp.com intercom.com intercomcdn.com zendesk.com salesforce.com atlassian.com jsdelivr.net unpkg.com cdnjs.cloudflare.com imagekit.io imgix.net cloudinary.com githubassets.com npmjs.com pypi.org rubygems.org crates.io packagist.org gravatar.com office.com office.net outlook.com vimeocdn.com".split()
+
+#: Limits of encoded payloads, and characters that make a decoded one multi-layered.
+BASE64_SIZES, HEX_SIZES, ENTITY_CAP, PUNYCODE_CAP, PAYLOAD_CAP = (20, 8192), (40, 16384), 4096, 64, 256
+LAYER_CLASS = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0000}-\x{E007F}"
+
+#: Structured text: limits, tags that run code, phrases, keys and fields.
+FIELD_MOST, FIELD_DEPTH, FIELD_ANCHORS, FIELD_CAP = 1 << 20, 12, 128, 32
+YAML_TAGS = ["!!python/object/apply", "!!python/object/new", "!!python/object", "!!python/name", "!!python/module", "!!js/function", "!!js/regexp", "!!js/undefined", "!ruby/object", "!ruby/hash", "!!exec", "!!new"]
+FIELD_PHRASES = [
+    r"\bignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions?\b",
+    r"\bdisregard\s+(?:all\s+)?(?:previous|prior|above)\b",
+    r"\b(?:you\s+are|act\s+as|pretend\s+to\s+be|roleplay\s+as)\s+(?:now\s+)?a\b",
+    r"\bsystem\s*[:|]\s*you\s+are\b",
+    r"\b(?:override|forget|delete)\s+(?:all\s+)?(?:previous|prior|your)\s+(?:instructions?|prompts?)\b",
+    r"\b(?:reveal|leak|exfiltrate|print|output)\s+(?:the\s+)?(?:system\s+)?prompt\b",
+    r"\bnew\s+instructions?\s*[:|]",
+]
+FIELD_KEYS = ["system-prompt", "system_prompt", "inject-prompt", "inject_prompt", "override-instructions", "override_instructions", "ignore-previous", "ignore_previous", "ignore_prior_instructions"]
+JSONLD_FIELDS = ["description", "name", "articleBody", "headline", "abstract", "text"]
+
+#: Names of control characters, and labels of invisible ones in masked texts.
+CONTROL_NAMES = dict(zip([*range(9), 11, 12, *range(14, 32), *range(0x7F, 0xA0)], "NULL SOH STX ETX EOT ENQ ACK BEL BS VT FF SO SI DLE DC1 DC2 DC3 DC4 NAK SYN ETB CAN EM SUB ESC FS GS RS US DEL PAD HOP BPH NBH IND NEL SSA ESA HTS HTJ VTS PLD PLU RI SS2 SS3 DCS PU1 PU2 STS CCH MW SPA EPA SOS SGCI SCI CSI ST OSC PM APC".split(), strict=True))
+MASK_LABELS = {0xAD: "SHY", 0x200B: "ZWSP", 0x200C: "ZWNJ", 0x200D: "ZWJ", 0x2060: "WJ", 0xFEFF: "BOM", 0x180E: "MVS", 0x2028: "LSEP", 0x2029: "PSEP", 0x202A: "LRE", 0x202B: "RLE", 0x202C: "PDF", 0x202D: "LRO", 0x202E: "RLO", 0x2066: "LRI", 0x2067: "RLI", 0x2068: "FSI", 0x2069: "PDI"}
+BIDI_NAMES = {0x202A: "Left-to-Right Embedding (LRE)", 0x202B: "Right-to-Left Embedding (RLE)", 0x202C: "Pop Directional Formatting (PDF)", 0x202D: "Left-to-Right Override (LRO)", 0x202E: "Right-to-Left Override (RLO)", 0x2066: "Left-to-Right Isolate (LRI)", 0x2067: "Right-to-Left Isolate (RLI)", 0x2068: "First Strong Isolate (FSI)", 0x2069: "Pop Directional Isolate (PDI)"}
+INVISIBLE_NAMES = {0x200B: "Zero-Width Space", 0x200C: "Zero-Width Non-Joiner", 0x200D: "Zero-Width Joiner", 0x2060: "Word Joiner", 0xFEFF: "Zero-Width No-Break Space (BOM)", 0x200E: "Left-to-Right Mark", 0x200F: "Right-to-Left Mark", 0x206A: "Inhibit Symmetric Swapping", 0x206B: "Activate Symmetric Swapping", 0x206C: "Inhibit Arabic Form Shaping", 0x206D: "Activate Arabic Form Shaping", 0x206E: "National Digit Shapes", 0x206F: "Nominal Digit Shapes", 0xAD: "Soft Hyphen", 0x180E: "Mongolian Vowel Separator", 0x202F: "Narrow No-Break Space", 0x205F: "Medium Mathematical Space", 0x3000: "Ideographic Space", 0x3164: "Hangul Filler", 0x115F: "Hangul Choseong Filler", 0x1160: "Hangul Jungseong Filler"}
+
+#: Descriptions of tools: hidden instructions (pattern, flags), invisible signal, Cyrillic look-alikes.
+TOOL_RULES = [
+    (r"\bignore\s+(?:all\s+)?previous\s+(?:instructions?|rules?|prompts?)\b", "i"),
+    (r"\bdisregard\s+(?:all\s+)?previous\s+(?:instructions?|rules?)\b", "i"),
+    (r"^[\s>*-]*system\s*:\s*(?:you\s+are|act\s+as|never|always)", "im"),
+    (r"^[\s>*-]*assistant\s*:\s*(?:you\s+are|never|always)", "im"),
+    (r"\bdeveloper\s+mode\b", "i"),
+    (r"<\|im_start\|>\s*(?:system|user|assistant)", "i"),
+    (r"<\|start_header_id\|>\s*(?:system|user|assistant)\s*<\|end_header_id\|>", "i"),
+    (r"\bnew\s+(?:system|safety)\s+prompt\b", "i"),
+    (r"\boverride\s+(?:safety|guard|policy)", "i"),
+]
+TOOL_SIGNAL = r"\x{E0000}-\x{E007F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200B}-\x{200F}\x{FEFF}"
+TOOL_CYRILLIC = "аеорсхуиӏ"
 
 #: Priorities.
 BASE_PRIORITY = {"danger": 70, "warning": 35, "info": 10, "safe": 5}
@@ -126,12 +195,30 @@ BUCKETS = ["invisibleUnicode", "controlChars", "hiddenHtml", "suspiciousPatterns
 SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+def _spaces(rule: str) -> str:
+    out, inside, i = "", False, 0
+    while i < len(rule):
+        two = rule[i : i + 2]
+        if two == r"\s":
+            out += SPACE if inside else f"[{SPACE}]"
+        elif two == r"\S" and not inside:
+            out += f"[^{SPACE}]"
+        elif two[0] == "\\":
+            out += two
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out += two[0]
+            i -= 1
+        i += 2
+    return out
+
+
 def pattern(rule: str, flags: str = "i", engine: str = "java") -> str:
     """A rule in the dialect of Spark (java), DuckDB (re2) or Python (py), with equal meaning.
 
-    White space is one explicit class, a dot stops at line ends, word edges are ASCII.
+    White space is one explicit class, also inside a bracket expression, a dot stops at line ends, word edges are ASCII.
     """
-    out = rule.replace(r"\s", f"[{SPACE}]").replace(".*", r"[^\n\r\x{2028}\x{2029}]*")
+    out = _spaces(rule).replace(".*", r"[^\n\r\x{2028}\x{2029}]*")
     if engine != "re2" and r"\b" in out:
         out = out.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
     if engine == "py":

@@ -18,9 +18,22 @@ def in_class(text: str | Column, name: str) -> Column:
     return hits(text, f"[{CLASSES[name]}]")
 
 
-def phrase_hits(text: str | Column) -> list[Column]:
-    """Hits of every phrase rule, in rule order."""
-    return [hits(text, pattern(p, f)) for _, p, f, _ in rules.PHRASE_RULES]
+def held(text: Column) -> Column:
+    """Generates the text once more as a column of its own, so that what is read often is not computed often."""
+    return F.explode(F.array(text))
+
+
+def phrase_hits(text: str | Column, low: Column | None = None) -> list[Column]:
+    """Hits of every phrase rule, in rule order. A rule's pattern runs only where the text in lower case (low)
+    holds one of the pieces that it needs."""
+    low = F.lower(text) if low is None else low
+    out = []
+    for (_, p, f, _), pieces in zip(rules.PHRASE_RULES, rules.PHRASE_PIECES, strict=True):
+        some = low.contains(pieces[0])
+        for x in pieces[1:]:
+            some = some | low.contains(x)
+        out.append(F.when(some, hits(text, pattern(p, f))).otherwise(F.lit(0).cast("long")))
+    return out
 
 
 def summed(cells: list[Column]) -> Column:
@@ -30,8 +43,8 @@ def summed(cells: list[Column]) -> Column:
     return total
 
 
-def phrases_of(text: str | Column, severity: str) -> Column:
-    return summed([c for c, r in zip(phrase_hits(text), rules.PHRASE_RULES, strict=True) if r[3] == severity])
+def phrases_of(text: str | Column, severity: str, low: Column | None = None) -> Column:
+    return summed([c for c, r in zip(phrase_hits(text, low), rules.PHRASE_RULES, strict=True) if r[3] == severity])
 
 
 def bidi(text: str | Column) -> dict[str, Column]:
@@ -42,9 +55,10 @@ def bidi(text: str | Column) -> dict[str, Column]:
 
 
 def homoglyphs(text: str | Column) -> Column:
-    """Look-alike letters with an ASCII letter on either side."""
+    """Look-alike letters with an ASCII letter on either side; plain ASCII texts are told by their size."""
     own = f"[{rules.HOMOGLYPHS}]"
-    return hits(text, f"(?<=[A-Za-z]){own}|{own}(?=[A-Za-z])")
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when((F.octet_length(text) > F.length(text)) & text.rlike(own), hits(text, f"(?<=[A-Za-z]){own}|{own}(?=[A-Za-z])")).otherwise(F.lit(0).cast("long"))
 
 
 def runs(text: str | Column, name: str) -> Column:
@@ -57,16 +71,18 @@ def stripped(text: str | Column) -> Column:
 
 
 def decoded_payloads(text: str | Column, kind: str) -> Column:
-    """Decoded base64 or hex runs of the fixed sizes that decode to text."""
+    """Decoded base64 or hex runs of the fixed sizes that are three quarters printable, as UTF-8."""
     if kind == "base64":
         found = F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))
-        found = F.filter(found, lambda x: (F.length(x) % 4 == 0) & (F.length(x) <= 8192))
+        found = F.filter(found, lambda x: (F.length(x) % 4 == 0) & (F.length(x) <= rules.BASE64_SIZES[1]))
         data = F.transform(found, lambda x: F.try_to_binary(x, F.lit("base64")))
     else:
         found = F.regexp_extract_all(text, F.lit("(?i)[0-9a-f]{40,}"), F.lit(0))
-        found = F.filter(found, lambda x: (F.length(x) % 2 == 0) & (F.length(x) <= 16384))
+        found = F.filter(found, lambda x: (F.length(x) % 2 == 0) & (F.length(x) <= rules.HEX_SIZES[1]))
         data = F.transform(found, lambda x: F.try_to_binary(x, F.lit("hex")))
-    return F.transform(F.filter(data, lambda x: x.isNotNull()), lambda x: F.decode(x, "ISO-8859-1"))
+    odd = lambda x: F.regexp_count(F.decode(x, "ISO-8859-1"), F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
+    data = F.filter(data, lambda x: x.isNotNull() & (F.octet_length(x) > 0) & (odd(x) * 4 <= F.octet_length(x)))
+    return F.transform(data, lambda x: F.make_valid_utf8(x.cast("string")))
 
 
 def instruction_payloads(text: str | Column, kind: str) -> Column:
@@ -95,22 +111,44 @@ def image_links(text: str | Column) -> Column:
     return F.transform(urls, keyed)
 
 
-def formula_kind(cell: Column) -> Column:
-    """danger name, 'formula-prefix', or null for a cell without the leading-character risk."""
+def plain_cell(cell: Column) -> Column:
+    """A cell without leading blanks and stacked function prefixes, other equals signs as '='."""
     clean = F.regexp_replace(cell, r"^[ \x{A0}]+", "")
     clean = F.regexp_replace(clean, r"^[\x{FF1D}\x{FE66}\x{2E40}]", "=")
-    clean = F.regexp_replace(clean, r"^(=?)(?:_xlfn\.|_xlws\.)+", "$1")
+    return F.regexp_replace(clean, r"(?i)^(=?)(?:_xlfn\.(?:_xlws\.)?){1,16}", "$1")
+
+
+def cell_of(line: Column) -> Column:
+    """The cell of a line: without the carriage return at its end and a location in brackets before it."""
+    body = F.regexp_replace(line, r"\r\z", "")
+    close = F.instr(body, "] ")
+    return F.when(body.startswith("[") & (close > 1), F.substr(body, close + 2)).otherwise(body)
+
+
+def formula_kind(cell: Column) -> Column:
+    """Name of the rule that a cell breaks, or null: a function or command, a control character, or another risky start."""
+    clean = plain_cell(cell)
     first = F.substring(clean, 1, 1)
     kind = F.when(~first.isin("=", "+", "-", "@", "\t", "\r") | (clean == ""), F.lit(None).cast("string"))
     for name, p in rules.FORMULA_RULES:
         kind = kind.when(clean.rlike(pattern(p)), name)
-    number = clean.rlike(r"^[+-]?[0-9][0-9,]*(?:\.[0-9]+)?%?$") | clean.rlike(r"^\+[0-9][0-9 ()-]*$")
-    return kind.when(number, F.lit(None).cast("string")).otherwise("formula-prefix")
+    number = clean.rlike(r"\A(?:[+-]?[0-9]+(?:\.[0-9]+)?|[+-]?[0-9]*\.[0-9]+|\+[0-9]{1,3}[0-9 \-()]{5,})\z")
+    return kind.when(first.isin("\t", "\r"), "Formula-prefix control char").when(number, F.lit(None).cast("string")).otherwise("Formula prefix")
+
+
+def neutral_line(line: Column) -> Column:
+    """A line with its risky cell behind an apostrophe; location, line end and numbers stay."""
+    own = cell_of(line)
+    clean = plain_cell(own)
+    number = clean.rlike(r"\A(?:[+-]?[0-9]+(?:\.[0-9]+)?|[+-]?[0-9]*\.[0-9]+|\+[0-9]{1,3}[0-9 \-()]{5,})\z")
+    risky = F.substring(clean, 1, 1).isin("=", "+", "-", "@", "\t", "\r") & (clean != "") & ~number
+    lead = F.length(F.regexp_replace(line, r"\r\z", "")) - F.length(own)
+    return F.when(risky, F.concat(F.substr(line, F.lit(1), lead), F.lit("'"), F.substr(line, lead + 1))).otherwise(line)
 
 
 def neutral_formula(text: str | Column) -> Column:
-    """Every risky line behind an apostrophe."""
-    return F.array_join(F.transform(F.split(text, "\n", -1), lambda c: F.when(formula_kind(c).isNotNull(), F.concat(F.lit("'"), c)).otherwise(c)), "\n")
+    """Every risky cell of a csv or spreadsheet text behind an apostrophe."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), neutral_line), "\n")
 
 
 def sanitize(text: str | Column, file_type: Column | None = None) -> Column:
@@ -142,10 +180,20 @@ def plain_sanitize(out: Column, file_type: Column | None = None) -> Column:
     if file_type is not None:  # one use of the text: lines of other types pass as they are
         out = F.element_at(F.transform(F.array(out), lambda x: F.when(file_type == "html", without_hidden(x)).otherwise(x)), 1)
         cells = file_type.isin("csv", "xlsx")
-        out = F.array_join(F.transform(F.split(out, "\n", -1), lambda c: F.when(cells & formula_kind(c).isNotNull(), F.concat(F.lit("'"), c)).otherwise(c)), "\n")
+        out = F.array_join(F.transform(F.split(out, "\n", -1), lambda c: F.when(cells, neutral_line(c)).otherwise(c)), "\n")
+    return F.element_at(F.transform(F.array(out), without_phrases), 1)
+
+
+def without_phrases(text: Column) -> Column:
+    """Every phrase rule's matches replaced, rule by rule; texts without a piece of any rule pass as they are."""
+    low = F.lower(text)
+    some = F.lit(False)
+    for piece in sorted({p for pieces in rules.PHRASE_PIECES for p in pieces}):
+        some = some | low.contains(piece)
+    out = text
     for _, p, f, _ in rules.PHRASE_RULES:
         out = F.regexp_replace(out, pattern(p, f), "[REMOVED]")
-    return out
+    return F.when(some, out).otherwise(text)
 
 
 def priority(severity: Column, bucket: Column, position: Column, length: Column) -> Column:
@@ -160,6 +208,20 @@ def priority(severity: Column, bucket: Column, position: Column, length: Column)
     return F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), base * weight * head)) + 0.5).cast("int")
 
 
+def reason(bucket: Column, severity: Column, position: Column, length: Column, detector: Column) -> Column:
+    """Why a finding ranks where it does; the first of five rules that holds."""
+    head = position.isNotNull() & (length > 0) & (length <= 2000) & (position <= length * 0.15)
+    out = F.when((severity == "danger") & (bucket == "suspiciousPatterns"), "danger-pattern")
+    out = out.when((detector == "bidi-control") | (bucket == "hiddenHtml"), "hidden-html-category-weight").when(head, "head-of-prompt-boost")
+    return out.when(severity == "warning", "warning-pattern").otherwise("category-weight")
+
+
+def label(text: Column) -> Column:
+    """A name for display: without control, direction and zero-width characters, cut to 60."""
+    clean = F.regexp_replace(text, r"[\x00-\x1F\x7F-\x9F\x{200B}-\x{200F}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}]", "")
+    return F.when(F.length(clean) <= 60, clean).otherwise(F.concat(F.substring(clean, 1, 57), F.lit("...")))
+
+
 def zip_slip(name: str | Column) -> Column:
     """nullbyte, drive, absolute, dotdot or null, in that order of precedence."""
     name = F.col(name) if isinstance(name, str) else name

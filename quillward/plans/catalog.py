@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillward.functions import rules
 from quillward.functions.rules import CLASSES, pattern
 from quillward.operators import detectors as D
-from quillward.operators import spans
+from quillward.operators import sanitize, spans
 from quillward.plans import scan
 from quillward.sources.corpus import corpus, corpus_sql, quoted, table
 
@@ -46,6 +46,11 @@ def phrases_(severity: str, text: str = "text") -> str:
     return "(" + " + ".join(rule_(k, text) for k, r in enumerate(rules.PHRASE_RULES) if r[3] == severity) + ")"
 
 
+def _low(docs: DataFrame) -> DataFrame:
+    """docs with the text in lower case as a column of its own."""
+    return docs.select("*", F.explode(F.array(F.lower("text"))).alias("low"))
+
+
 C = corpus_sql()
 BIDI_ = f"({cls_('bidi_embedding')} + {cls_('bidi_override')} + {cls_('bidi_isolate')})"
 #: Look-alikes with a Latin neighbour, without lookaround: windows of three characters.
@@ -56,22 +61,24 @@ GLYPH_ROWS_ = f"case when regexp_matches(text, '[{rules.HOMOGLYPHS}]') then {GLY
 @query(f"select r.idx::int idx, r.name as name, r.severity severity, sum(r.n)::bigint hits, count(*) filter (r.n > 0)::bigint docs from {C} c, lateral (select unnest([{', '.join(f"{{'idx': {k}, 'name': {quoted(r[0])}, 'severity': {quoted(r[3])}, 'n': {rule_(k)}}}" for k, r in enumerate(rules.PHRASE_RULES))}]) r) group by all")
 def phrase_rule_counts(spark, sf_dir):
     """Hits and documents of every phrase rule: one scan, partial sums, then 43 rows."""
-    cells = D.phrase_hits("text")
-    sums = [x for k, c in enumerate(cells) for x in (F.sum(c).alias(f"h{k}"), F.count_if(c > 0).alias(f"d{k}"))]
-    total = corpus(spark, sf_dir).agg(*sums)
+    cells = F.explode(F.array(F.array(*D.phrase_hits("text", F.col("low"))))).alias("h")
+    sums = [x for k in range(len(rules.PHRASE_RULES)) for x in (F.sum(F.col("h")[k]).alias(f"h{k}"), F.count_if(F.col("h")[k] > 0).alias(f"d{k}"))]
+    total = _low(corpus(spark, sf_dir)).select(cells).agg(*sums)
     rows = F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(r[0]).alias("name"), F.lit(r[3]).alias("severity"), F.coalesce(f"h{k}", F.lit(0)).cast("long").alias("hits"), F.col(f"d{k}").alias("docs")) for k, r in enumerate(rules.PHRASE_RULES)])
     return total.select(F.inline(rows))
 
 
 @query(f"select doc_id, {phrases_('danger')}::bigint danger_count, {phrases_('warning')}::bigint warning_count, case when {phrases_('danger')} > 0 then 'danger' when {phrases_('warning')} > 0 then 'warning' else 'safe' end status from {C}")
 def phrase_doc_status(spark, sf_dir):
-    found = corpus(spark, sf_dir).select("doc_id", D.phrases_of("text", "danger").alias("danger_count"), D.phrases_of("text", "warning").alias("warning_count"))
+    low = F.col("low")
+    counts = F.struct(D.phrases_of("text", "danger", low).alias("danger_count"), D.phrases_of("text", "warning", low).alias("warning_count"))
+    found = _low(corpus(spark, sf_dir)).select("doc_id", F.explode(F.array(counts)).alias("c")).select("doc_id", "c.*")
     return found.withColumn("status", D.status(F.col("danger_count"), F.col("warning_count")))
 
 
 @query(f"select source, lang, sum({phrases_('danger')} + {phrases_('warning')})::bigint hits, count(*)::bigint docs from {C} group by rollup (source, lang)")
 def phrase_hits_by_source_lang(spark, sf_dir):
-    found = corpus(spark, sf_dir).select("source", "lang", (D.phrases_of("text", "danger") + D.phrases_of("text", "warning")).alias("h"))
+    found = _low(corpus(spark, sf_dir)).select("source", "lang", (D.phrases_of("text", "danger", F.col("low")) + D.phrases_of("text", "warning", F.col("low"))).alias("h"))
     return found.rollup("source", "lang").agg(F.sum("h").alias("hits"), F.count("*").alias("docs"))
 
 
@@ -156,7 +163,7 @@ DECODED_ = "(?i)" + "|".join(f"(?:{pattern(p, '', 're2')})" for p in rules.DECOD
 
 
 def _decoded_query(name: str, kind: str, regex: str, multiple: int, most: int, decode: str):
-    sql = f"select doc_id, count(*)::bigint payloads from (select doc_id, unnest(regexp_extract_all(text, {quoted(regex)})) x from {C}) where length(x) % {multiple} = 0 and length(x) <= {most} and regexp_matches(substring(coalesce(try(decode({decode})), ''), 1, 4096), {quoted(DECODED_)}) group by doc_id"
+    sql = f"select doc_id, count(*)::bigint payloads from (select doc_id, unnest(regexp_extract_all(text, {quoted(regex)})) x from {C}) where length(x) % {multiple} = 0 and length(x) <= {most} and regexp_matches(substring(coalesce(try(decode({decode})), ''), 1, 4096), {quoted(DECODED_)}) and len(regexp_extract_all(coalesce(try(decode({decode})), ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]')) * 4 <= octet_length({decode}) group by doc_id"
 
     def f(spark, sf_dir):
         return corpus(spark, sf_dir).select("doc_id", D.instruction_payloads("text", kind).alias("payloads")).where("payloads > 0")
@@ -200,9 +207,29 @@ def css_hiding_rules(spark, sf_dir):
     return s.select(F.inline(rows)).where("hit").groupBy("rule").agg(F.count("*").alias("styles"))
 
 
-@query(f"select id, r.technique technique, r.severity severity, least(r.n, {rules.SVG_CAP})::bigint findings from {PAGES_}, lateral (select unnest([{', '.join(f"{{'technique': '{t}', 'severity': '{s}', 'n': {n_(pattern(p, 'i', 're2'))}}}" for t, p, s in rules.SVG_RULES)}]) r) where r.n > 0")
+#: Whole matches of the markup rules, and what a match must hold besides.
+SVG_WHOLE = {
+    "svg-script-element": (r"<script\b[^>]*>", ""),
+    "svg-event-handler": (r"\son[a-z]{1,30}\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", ""),
+    "svg-javascript-href": (r"\s(?:xlink:href|href)\s*=\s*(?:\"[^\"]+\"|'[^']+'|[^\s>]+)", r"=\s*[\"']?[\x00-\x20]*javascript:"),
+    "svg-foreignobject-html": (r"<foreignObject\b[^>]*>", ""),
+    "svg-cdata-section": (r"<!\[CDATA\[[\x00-\x{10FFFF}]*?\]\]>", ""),
+    "svg-use-external-ref": (r"<use\b[^>]*>", r"\s(?:xlink:href|href)\s*=\s*(?:\"\s*[^\"#\s][^\"]*\"|'\s*[^'#\s][^']*'|[^\s>#\"'][^\s>]*)"),
+}
+
+
+def svg_(rule: str) -> str:
+    whole, more = SVG_WHOLE[rule]
+    return f"len(list_filter(regexp_extract_all(text, {quoted(pattern(whole, 'i', 're2'))}), lambda x: regexp_matches(x, {quoted(pattern(more, 'i', 're2'))})))"
+
+
+@query(f"select id, r.technique technique, r.severity severity, least(r.n, {rules.SVG_CAP})::bigint findings from {PAGES_}, lateral (select unnest([{', '.join(f"{{'technique': '{t}', 'severity': '{s}', 'n': {svg_(t)}}}" for t, _, s in rules.SVG_RULES)}]) r) where r.n > 0")
 def svg_rules(spark, sf_dir):
-    rows = F.array(*[F.struct(F.lit(t).alias("technique"), F.lit(s).alias("severity"), F.least(D.hits("text", pattern(p)), F.lit(rules.SVG_CAP).cast("long")).alias("findings")) for t, p, s in rules.SVG_RULES])
+    def count(rule):
+        whole, more = SVG_WHOLE[rule]
+        return F.size(F.filter(F.regexp_extract_all("text", F.lit(pattern(whole)), F.lit(0)), lambda x: x.rlike(pattern(more)))).cast("long")
+
+    rows = F.array(*[F.struct(F.lit(t).alias("technique"), F.lit(s).alias("severity"), F.least(count(t), F.lit(rules.SVG_CAP).cast("long")).alias("findings")) for t, _, s in rules.SVG_RULES])
     return _html(spark, sf_dir).select("id", F.inline(rows)).where("findings > 0")
 
 
@@ -214,14 +241,18 @@ def image_exfil_urls(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.inline(D.image_links("text")))
 
 
-LINE_ = "regexp_replace(regexp_replace(regexp_replace(l, '^[ \\x{A0}]+', ''), '^[\\x{FF1D}\\x{FE66}\\x{2E40}]', '='), '^(=?)(?:_xlfn\\.|_xlws\\.)+', '\\1')"
-KIND_ = f"case when f = '' or not (f[1] in ('=', '+', '-', '@', chr(9), chr(13))) then null {' '.join(f'when regexp_matches(f, {quoted(pattern(p, 'i', 're2'))}) then {quoted(n)}' for n, p in rules.FORMULA_RULES)} when regexp_matches(f, '^[+-]?[0-9][0-9,]*(?:\\.[0-9]+)?%?$') or regexp_matches(f, '^\\+[0-9][0-9 ()-]*$') then null else 'formula-prefix' end"
+NUMBER_ = r"^(?:[+-]?[0-9]+(?:\.[0-9]+)?|[+-]?[0-9]*\.[0-9]+|\+[0-9]{1,3}[0-9 \-()]{5,})$"
+BODY_ = "regexp_replace(l, '\\x0d$', '')"
+CELL_ = f"case when {BODY_}[1] = '[' and strpos({BODY_}, '] ') > 1 then substring({BODY_}, strpos({BODY_}, '] ') + 2) else {BODY_} end"
+LINE_ = f"regexp_replace(regexp_replace(regexp_replace({CELL_}, '^[ \\x{{A0}}]+', ''), '^[\\x{{FF1D}}\\x{{FE66}}\\x{{2E40}}]', '='), '(?i)^(=?)(?:_xlfn\\.(?:_xlws\\.)?){{1,16}}', '\\1')"
+KIND_ = f"case when f = '' or not (f[1] in ('=', '+', '-', '@', chr(9), chr(13))) then null {' '.join(f'when regexp_matches(f, {quoted(pattern(p, "i", "re2"))}) then {quoted(n)}' for n, p in rules.FORMULA_RULES)} when f[1] in (chr(9), chr(13)) then 'Formula-prefix control char' when regexp_matches(f, {quoted(NUMBER_)}) then null else 'Formula prefix' end"
+CELLS_ = f"(select doc_id, line_no, l, {KIND_} kind, {CELL_} cell from (select doc_id, line_no, l, {LINE_} f from (select doc_id, unnest(range(0, len(ls)))::int line_no, unnest(ls) l from (select doc_id, string_split(text, chr(10)) ls from {C} where file_type = 'csv'))))"
 
 
-@query(f"select doc_id, line_no, kind from (select doc_id, line_no, {KIND_} kind from (select doc_id, line_no, {LINE_} f from (select doc_id, unnest(range(0, len(ls)))::int line_no, unnest(ls) l from (select doc_id, string_split(text, chr(10)) ls from {C} where file_type = 'csv')))) where kind is not null")
+@query(f"select doc_id, line_no, kind from {CELLS_} where kind is not null")
 def formula_cells(spark, sf_dir):
     lines = corpus(spark, sf_dir).where("file_type = 'csv'").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "l"))
-    return lines.select("doc_id", "line_no", D.formula_kind(F.col("l")).alias("kind")).where("kind is not null")
+    return lines.select("doc_id", "line_no", D.formula_kind(D.cell_of(F.col("l"))).alias("kind")).where("kind is not null")
 
 
 @query(f"select doc_id, count(*)::bigint quote_lines from (select doc_id, unnest(string_split(text, chr(10))) l from {C}) where regexp_matches(l, '^[ \\t]*>') group by doc_id")
@@ -230,27 +261,75 @@ def context_ranges_blockquote(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("quote_lines")).where("quote_lines > 0")
 
 
-SUMMARY_ = f"""select *, case when danger_count > 0 then 'danger' when warning_count > 0 then 'warning' else 'safe' end status from (select doc_id, source, lang, file_type,
- ({cls_('tag')} + {BIDI_} + {cls_('known_invisible')} + {cls_('private_use')} + {n_('[' + CLASSES['variation'] + ']+')})::bigint invisible_unicode, {cls_('control')}::bigint control_chars,
- ({phrases_('danger')} + {phrases_('warning')})::bigint suspicious_patterns, ({GLYPH_ROWS_} + {cls_('math')})::bigint homoglyphs,
- ({cls_('tag')} + case when {BIDI_} >= 3 then {BIDI_} else {cls_('bidi_override')} end + {phrases_('danger')})::bigint danger_count,
- (case when {BIDI_} >= 3 then 0 else {cls_('bidi_embedding')} + {cls_('bidi_isolate')} end + {cls_('known_invisible')} + {cls_('private_use')} + {cls_('control')} + {GLYPH_ROWS_} + {phrases_('warning')})::bigint warning_count from {C})"""
+#: What the rules say of each payload (fixed values, taken from the rules and not from this engine's plans):
+#: bucket, detector, label, severity, findings.
+EXPECTED = {
+    0: [("S", "phrase", "Instruction override attempt", "danger", 1), ("S", "phrase", "Prompt extraction attempt", "danger", 1)],
+    1: [("S", "phrase", "Role reassignment attempt", "danger", 2), ("S", "phrase", "System prompt injection", "danger", 1), ("S", "phrase", "Jailbreak keyword", "danger", 1)],
+    2: [("S", "phrase", "Instruction bypass attempt", "danger", 1), ("S", "phrase", "ChatML role injection", "danger", 1), ("S", "phrase", "ChatML role token", "warning", 2), ("S", "phrase", "Llama instruction token", "warning", 2)],
+    3: [("S", "phrase", "Override attempt", "danger", 1), ("S", "phrase", "Conversation turn marker", "warning", 4), ("S", "phrase", "Markdown heading impersonation", "warning", 1)],
+    4: [("I", "known-invisible", "Zero-Width Space", "warning", 2), ("I", "known-invisible", "Zero-Width Joiner", "warning", 1), ("I", "known-invisible", "Zero-Width No-Break Space (BOM)", "warning", 1), ("S", "shadow", "Instruction override attempt", "danger", 1)],
+    5: [("I", "tags", 'Unicode Tag (ASCII: "A")', "danger", 1), ("I", "tags", 'Unicode Tag (ASCII: "B")', "danger", 1), ("I", "tags", 'Unicode Tag (ASCII: "C")', "danger", 1), ("S", "shadow", "Jailbreak keyword", "danger", 1)],
+    6: [("I", "bidi-control", "Right-to-Left Override (RLO)", "danger", 1), ("I", "bidi-control", "Pop Directional Formatting (PDF)", "danger", 1), ("I", "bidi-control", "Left-to-Right Isolate (LRI)", "danger", 1), ("I", "bidi-control", "Pop Directional Isolate (PDI)", "danger", 1)],
+    7: [("I", "bidi-control", "Left-to-Right Override (LRO)", "danger", 1)],
+    8: [("H", "homoglyph", "homoglyphs", "warning", 4)],
+    9: [("I", "combining-stack", "combiningStack", "warning", 1)],
+    10: [("H", "math-alphanumeric", "mathAlphanumeric", "danger", 4), ("H", "math-alphanumeric", "mathAlphanumeric", "info", 1), ("H", "math-alphanumeric", "mathAlphanumeric", "warning", 2)],
+    11: [("C", "control", "BEL", "warning", 1), ("C", "control", "ESC", "warning", 1), ("C", "control", "DEL", "warning", 1)],
+    12: [("I", "private-use", "Private Use Area", "warning", 3)],
+    13: [("I", "variation-selectors", "variationSelector", "danger", 1), ("I", "variation-selectors", "variationSelector", "warning", 2)],
+    14: [("S", "encoded", "encoded-base64-instruction", "danger", 1)],
+    15: [("S", "encoded", "encoded-hex-instruction", "danger", 1)],
+    16: [("M", "image-exfil", "Markdown image exfiltration (strong key)", "danger", 1)],
+    17: [("M", "hidden-element", "display: none", "danger", 1), ("M", "html-comment", "HTML comment with instruction", "warning", 1)],
+    18: [("M", "css-rule", r"CSS rule: display\s*:\s*none", "warning", 1), ("M", "css-rule", r"CSS rule: font-size\s*:\s*0", "warning", 1), ("S", "svg", "svg-script-element", "danger", 1), ("S", "svg", "svg-event-handler", "danger", 1)],
+    19: [("S", "formula", "DDE Excel command", "danger", 1), ("S", "formula", "Excel network exfil function", "danger", 1), ("S", "formula", "Formula prefix", "warning", 1)],
+    20: [("S", "phrase", "Instruction override attempt", "warning", 1)],
+    21: [("S", "phrase", "Authority impersonation", "danger", 1), ("S", "phrase", "Fake system message boundary", "danger", 1), ("S", "phrase", "Template injection pattern", "danger", 1), ("S", "phrase", "Code execution pattern", "danger", 1), ("S", "phrase", "SQL injection pattern", "danger", 1)],
+    22: [("S", "formula", "DDE Excel command", "danger", 1), ("S", "formula", "Excel network exfil function", "danger", 1), ("S", "formula", "Formula-prefix control char", "warning", 1)],
+    23: [("S", "phrase", "Role reassignment attempt", "danger", 1), ("S", "structured-text", "frontmatter-prompt-injection", "danger", 2), ("S", "structured-text", "yaml-dangerous-tag", "danger", 1)],
+    24: [("S", "phrase", "Instruction override attempt", "danger", 1), ("S", "structured-text", "toml-instruction-key", "danger", 1), ("S", "structured-text", "frontmatter-prompt-injection", "danger", 1)],
+    25: [("S", "phrase", "Instruction override attempt", "danger", 1), ("S", "structured-text", "jsonld-description-injection", "danger", 1), ("S", "svg", "svg-script-element", "danger", 1)],
+    26: [("S", "encoded", "encoded-html-entity-instruction", "danger", 1)],
+    27: [("S", "encoded", "punycode-host-homograph", "danger", 1)],
+    28: [("M", "image-exfil", "md-exfil-allowlist-suppressed", "info", 1), ("M", "image-exfil", "Markdown image exfiltration (public IP host)", "warning", 1), ("M", "image-exfil", "Markdown image exfiltration (private IP host)", "warning", 1), ("M", "image-exfil", "md-exfil-allowlist-downgraded", "warning", 1), ("M", "image-exfil", "Markdown image exfiltration (strong key)", "danger", 3)],
+    29: [("M", "hidden-element", "hidden attribute", "danger", 1), ("M", "hidden-element", "White text on white background", "danger", 1), ("M", "hidden-element", "Same fg/bg color (#fff)", "danger", 1), ("M", "hidden-element", "Microscopic font-size", "danger", 1), ("M", "hidden-element", "Off-screen positioning", "danger", 1), ("M", "hidden-element", "opacity: 0", "danger", 1), ("M", "hidden-element", "Same fg/bg color (red)", "danger", 1)],
+    30: [("I", "known-invisible", "Zero-Width Space", "danger", 1), ("I", "variation-selectors", "url-query-variation-selector", "danger", 1)],
+    31: [("S", "phrase", "Privilege escalation attempt", "warning", 1), ("S", "phrase", "Jailbreak keyword", "warning", 1)],
+    32: [("S", "svg", "svg-javascript-href", "danger", 1), ("S", "svg", "svg-foreignobject-html", "warning", 1), ("S", "svg", "svg-cdata-section", "warning", 1), ("S", "svg", "svg-use-external-ref", "warning", 1)],
+    33: [("S", "encoded", "multi-layer-encoded-payload", "danger", 1)],
+}
+KEYS_OF = dict(zip("ICMSH", scan.COUNTS, strict=True))
+E_ = "(values " + ", ".join(f"({k}, '{b}', {quoted(d)}, {quoted(label)}, '{severity}', {n})" for k, rows in EXPECTED.items() for b, d, label, severity, n in rows) + ") e(payload, bucket, detector, label, severity, n)"
+#: Counts by payload, by the rules: five buckets, danger (of all but control characters) and warning.
+BY_PAYLOAD_ = f"(select payload, {', '.join(f"coalesce(sum(n) filter (bucket = '{b}'), 0)::bigint {name}" for b, name in KEYS_OF.items())}, coalesce(sum(n) filter (severity = 'danger'), 0)::bigint danger_count, coalesce(sum(n) filter (severity = 'warning'), 0)::bigint warning_count from {E_} group by payload)"
+SUMMARY_ = f"""select *, case when danger_count > 0 then 'danger' when warning_count > 0 then 'warning' else 'safe' end status from
+ (select doc_id, source, lang, file_type, {', '.join(f'coalesce({c}, 0)::bigint {c}' for c in [*scan.COUNTS, 'danger_count', 'warning_count'])} from {C} c left join {BY_PAYLOAD_} p on c.payload_id = p.payload)"""
+SUMMARY_COLUMNS = ["doc_id", "source", "lang", "file_type", *scan.COUNTS, "danger_count", "warning_count", "status"]
 
 
 @query(SUMMARY_)
 def summary_by_category(spark, sf_dir):
-    return scan.native_summary(corpus(spark, sf_dir))
+    """Counts by bucket and severity and the status of every document, from all detectors."""
+    return scan.summary(spark, corpus(spark, sf_dir)).select(*SUMMARY_COLUMNS)
+
+
+@query(f"select detector, label, severity, sum(n * docs)::bigint findings, sum(docs)::bigint docs from {E_} join (select payload_id, count(*) docs from {C} group by 1) c on payload = payload_id group by all")
+def finding_labels(spark, sf_dir):
+    """Findings and documents by detector, label and severity after the rules of context."""
+    found = scan.scan(spark, corpus(spark, sf_dir))
+    return found.groupBy("detector", "label", "severity").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query(f"select status, file_type, count(*)::bigint docs, sum(danger_count)::bigint danger, sum(warning_count)::bigint warning from ({SUMMARY_}) group by cube (status, file_type)")
 def batch_rollup(spark, sf_dir):
-    s = scan.native_summary(corpus(spark, sf_dir))
+    s = scan.summary(spark, corpus(spark, sf_dir))
     return s.cube("status", "file_type").agg(F.count("*").alias("docs"), F.sum("danger_count").alias("danger"), F.sum("warning_count").alias("warning"))
 
 
 @query(f"select l.quality::int quality, l.toxic::int toxic, s.status status, count(*)::bigint docs from ({SUMMARY_}) s join labels l using (doc_id) group by all")
 def labels_join(spark, sf_dir):
-    s = scan.native_summary(corpus(spark, sf_dir)).select("doc_id", "status")
+    s = scan.summary(spark, corpus(spark, sf_dir)).select("doc_id", "status")
     return s.join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), "status").agg(F.count("*").alias("docs"))
 
 
@@ -265,24 +344,13 @@ def transcript_noise(spark, sf_dir):
     return turns.select("conv_id", hits[36].alias("human"), hits[37].alias("assistant")).withColumn("banner", F.col("human") + F.col("assistant") >= 3)
 
 
-def _strip_(text: str) -> str:
-    names = ("tag", "known_invisible", "bidi_embedding", "bidi_override", "bidi_isolate")
-    out = f"regexp_replace({text}, {quoted('[' + ''.join(CLASSES[n] for n in names) + ']')}, '', 'g')"
-    out = f"regexp_replace({out}, {quoted('[' + CLASSES['control'] + ']')}, '', 'g')"
-    for _, p, f, _ in rules.PHRASE_RULES:
-        out = f"regexp_replace({out}, {quoted(pattern(p, f, 're2'))}, '[REMOVED]', 'g')"
-    return out
-
-
-@query(f"select doc_id, sha256(s) cleaned_sha256, (length(text) - length(s))::bigint shorter_by, ((length(s) - length(replace(s, '[REMOVED]', ''))) / 9)::bigint removed from (select doc_id, text, {_strip_('text')} s from {C} where file_type <> 'csv' and not regexp_matches(text, '[{rules.HOMOGLYPHS}]'))")
+@query()
 def sanitize_strip(spark, sf_dir):
-    """Strip mode of texts without look-alikes or cells (the steps that SQL can say)."""
-    own = corpus(spark, sf_dir).where((F.col("file_type") != "csv") & ~F.col("text").rlike(f"[{rules.HOMOGLYPHS}]")).withColumn("s", D.plain_sanitize(F.col("text")))
-    removed = (F.length("s") - F.length(F.replace("s", F.lit("[REMOVED]"), F.lit("")))) / 9
-    return own.select("doc_id", F.sha2("s", 256).alias("cleaned_sha256"), (F.length("text") - F.length("s")).cast("long").alias("shorter_by"), removed.cast("long").alias("removed"))
+    """Strip mode over every document, as digest and counts of what it removed."""
+    return sanitize.sanitized(spark, corpus(spark, sf_dir), "strip").withColumn("cleaned", F.sha2("cleaned", 256)).withColumnRenamed("cleaned", "cleaned_sha256").drop("ranges")
 
 
-@query(f"select doc_id, sha256(string_agg(case when kind is null then l else chr(39) || l end, chr(10) order by line_no)) cleaned_sha256 from (select doc_id, line_no, l, {KIND_} kind from (select doc_id, line_no, l, {LINE_} f from (select doc_id, unnest(range(0, len(ls)))::int line_no, unnest(ls) l from (select doc_id, string_split(text, chr(10)) ls from {C} where file_type = 'csv')))) group by doc_id")
+@query(f"select doc_id, sha256(string_agg(case when kind is null then l else substring(l, 1, length({BODY_}) - length(cell)) || chr(39) || substring(l, length({BODY_}) - length(cell) + 1) end, chr(10) order by line_no)) cleaned_sha256 from {CELLS_} group by doc_id")
 def sanitize_formula(spark, sf_dir):
     return corpus(spark, sf_dir).where("file_type = 'csv'").select("doc_id", F.sha2(D.neutral_formula("text"), 256).alias("cleaned_sha256"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,47 +11,102 @@ from quillward.functions import rules
 from quillward.operators import detectors as D
 from quillward.operators import spans
 
+#: Text length from which the place of a finding does not count: findings that were merged have it.
+MERGED_LENGTH = 2001
 
-def scored(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """Findings with priority; with docs, near-start findings of short texts gain."""
-    bucket = F.when(F.col("detector") == "bidi-control", "bidiOverride").otherwise(F.col("bucket"))
-    if docs is None:
-        length = F.lit(2001)
-        return found.withColumn("display", bucket).withColumn("priority", D.priority(F.col("severity"), bucket, F.col("position"), length))
-    sizes = docs.select("doc_id", F.length("text").alias("_n"))
-    return found.join(sizes, "doc_id").withColumn("display", bucket).withColumn("priority", D.priority(F.col("severity"), bucket, F.col("position"), F.col("_n"))).drop("_n")
+
+def scored(found: DataFrame, length: Column | int | None = None) -> DataFrame:
+    """Findings with display category, priority, reason and label. length: of the text in UTF-16 units, by
+    default the one of each finding; MERGED_LENGTH for findings of several sources."""
+    size = F.col("text_len") if length is None else F.lit(length) if isinstance(length, int) else length
+    display = F.when(F.col("detector") == "bidi-control", "bidiOverride").otherwise(F.col("bucket"))
+    out = found.withColumn("display", display).withColumn("priority", D.priority(F.col("severity"), F.col("display"), F.col("position"), size))
+    return out.withColumn("reason", D.reason(F.col("bucket"), F.col("severity"), F.col("position"), size, F.col("detector"))).withColumn("label", D.label(F.coalesce("name", "technique", "kind", "display")))
+
+
+def scan(spark: SparkSession, docs: DataFrame, categories: list[str] | None = None, verbosity: str = "normal") -> DataFrame:
+    """Scored findings of docs(doc_id, text, file_type). verbosity: normal, or detailed with wider contexts."""
+    return scored(spans.findings(spark, docs, categories, verbosity == "detailed"))
+
+
+def sniffed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with the file type that a text given directly has: html with a tag, else text."""
+    return docs.withColumn("file_type", F.when(F.col("text").rlike(r"(?i)<[a-z][\x00-\x{10FFFF}]*>"), "html").otherwise("text"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """Union of findings of several sources, scored anew without the boost of the head."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return scored(out, MERGED_LENGTH)
 
 
 def top_findings(found: DataFrame, per_display: int = 2, total: int = 5) -> DataFrame:
     """Danger and warning findings by priority, at most two of a display category and five of a document."""
     noisy = F.count("*").over(W.partitionBy("doc_id", "name"))
-    kept = found.where(F.col("severity").isin("danger", "warning")).withColumn("_c", noisy).where(~(F.col("name").isin(rules.NOISE) & (F.col("_c") < 3)))
+    kept = found.where(F.col("severity").isin("danger", "warning")).withColumn("_c", noisy).where(~(F.coalesce("name", F.lit("")).isin(rules.NOISE) & (F.col("_c") < rules.TRANSCRIPT_LEAST)))
     by = [F.desc("priority"), "display", "idx"]
     own = kept.withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "display").orderBy(*by))).where(F.col("_r") <= per_display)
     return own.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(*by))).where(F.col("rank") <= total).drop("_r", "_c")
 
 
-def native_summary(docs: DataFrame) -> DataFrame:
-    """Counts by bucket and status without leaving the scan's stage: no shuffle, no Python."""
-    bidi = D.bidi("text")
-    vs = D.runs("text", "variation")
-    cols = docs.select(
-        "doc_id", "source", "lang", "file_type",
-        D.in_class("text", "tag").alias("tags"), bidi["total"].alias("bidi"), bidi["danger"].alias("bidi_danger"), bidi["warning"].alias("bidi_warning"),
-        (D.in_class("text", "known_invisible") + D.in_class("text", "private_use")).alias("other_invisible"), F.size(vs).cast("long").alias("variation_runs"),
-        D.in_class("text", "control").alias("control_chars"), D.homoglyphs("text").alias("look_alikes"), D.in_class("text", "math").alias("math_chars"),
-        D.phrases_of("text", "danger").alias("phrase_danger"), D.phrases_of("text", "warning").alias("phrase_warning"),
-    )
-    danger = F.col("tags") + F.col("bidi_danger") + F.col("phrase_danger")
-    warning = F.col("bidi_warning") + F.col("other_invisible") + F.col("control_chars") + F.col("look_alikes") + F.col("phrase_warning")
-    return cols.select(
-        "doc_id", "source", "lang", "file_type",
-        (F.col("tags") + F.col("bidi") + F.col("other_invisible") + F.col("variation_runs")).alias("invisible_unicode"), "control_chars",
-        (F.col("phrase_danger") + F.col("phrase_warning")).alias("suspicious_patterns"), (F.col("look_alikes") + F.col("math_chars")).alias("homoglyphs"),
-        danger.alias("danger_count"), warning.alias("warning_count"), D.status(danger, warning).alias("status"),
-    )
-
-
-def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Scored findings of docs(doc_id, text)."""
-    return scored(spans.findings(spark, docs), docs)
+COUNTS = ["invisible_unicode", "control_chars", "hidden_html", "suspicious_patterns", "homoglyphs"]
+BIDI = ["total", "override", "embedding", "isolate", "danger", "warning"]
+
+
+def summary_of(text: str | None, file_type: str) -> list[int]:
+    """Counts of the five buckets, danger, warning, then of direction controls."""
+    out, bidi = [0] * 7, dict.fromkeys(BIDI, 0)
+    if not text:
+        return out + [0] * 6
+    for k, (bucket, found) in enumerate(spans.findings_of(text, file_type).items()):
+        out[k] = len(found)
+        out[5] += sum(x["severity"] == "danger" for x in found) if bucket != "controlChars" else 0
+        out[6] += sum(x["severity"] == "warning" for x in found)
+        for x in found:
+            if x["detector"] == "bidi-control":
+                bidi["total"] += 1
+                bidi[x["kind"]] += 1
+                if x["severity"] in bidi:
+                    bidi[x["severity"]] += 1
+    return out + list(bidi.values())
+
+
+def summary(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row for every row of docs(doc_id, source, lang, file_type, text): counts, status, direction controls, and
+    whether the text is long enough to be read in chunks.
+
+    Every count comes from the findings with the rules of their context applied, in the scan's own stage: no
+    shuffle, and texts that a native test clears do not travel to Python. Null texts are safe.
+    """
+    names = [*COUNTS, "danger_count", "warning_count", *(f"bidi_{b}" for b in BIDI)]
+
+    def rows(batches):
+        for batch in batches:
+            found = [summary_of(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("file_type").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([f[k] for f in found], pa.int64()) for k in range(len(names))]], [*batch.schema.names[:-1], *names])
+
+    size = (F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("long")
+    chunks = F.when(size > spans.STREAM_FROM, F.ceil(size / spans.CHUNK)).otherwise(F.lit(0)).cast("int")
+    own = docs.select("doc_id", "source", "lang", F.coalesce("file_type", F.lit("text")).alias("file_type"), F.when(F.octet_length("text") > spans.STREAM_FROM, chunks).otherwise(F.lit(0)).alias("chunk_count"), F.col("text").cast("string").alias("text"))
+    own = own.withColumn("text", F.when(spans.may_have_findings(F.col("text"), F.col("file_type")), F.col("text")))
+    form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema[:-1]) + ", " + ", ".join(f"{n} long" for n in names)
+    out = own.mapInArrow(rows, form)
+    return out.withColumn("status", D.status(F.col("danger_count"), F.col("warning_count"))).withColumn("streamed", F.col("chunk_count") > 0)
+
+
+def compact(found: DataFrame) -> DataFrame:
+    """The compact form of findings: (doc_id, total, max_severity, categories, one_line)."""
+    rank = {"safe": 0, "info": 1, "warning": 2, "danger": 3}
+    value = F.coalesce(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col("severity")], F.lit(0))
+    own = found.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"), F.max(value).alias("rank"))
+    out = own.groupBy("doc_id").agg(F.sum("n").alias("total"), F.max("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("counts"))
+    worst = F.element_at(F.array(*map(F.lit, rank)), F.col("rank") + 1)
+    return out.select("doc_id", "total", worst.alias("max_severity"), F.map_from_entries("counts").alias("categories"), F.concat(F.lit("⚠ "), F.col("total"), F.lit(" findings, max="), worst).alias("one_line"))
+
+
+def worst_status(status: Column) -> Column:
+    """Aggregate: danger before warning before safe."""
+    rank = F.max(F.when(status == "danger", 2).when(status == "warning", 1).otherwise(0))
+    return F.element_at(F.array(F.lit("safe"), F.lit("warning"), F.lit("danger")), rank + 1)

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillward.plans.scan import native_summary
+from quillward.operators import spans
+from quillward.plans.scan import summary
 
 
-def scan_stream(docs: DataFrame) -> DataFrame:
+def scan_stream(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Stateless summary rows of a streaming docs(doc_id, source, lang, file_type, text)."""
-    return native_summary(docs)
+    return summary(spark, docs)
 
 
-def status_windows(docs: DataFrame, time_col: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Documents by status in event-time windows; rows later than the watermark are dropped by Spark."""
-    told = docs.withWatermark(time_col, late)
-    marks = native_summary(told.select(F.struct("doc_id", time_col).alias("doc_id"), "source", "lang", "file_type", "text"))
-    return marks.groupBy(F.window(F.col(f"doc_id.{time_col}"), width), "status").agg(F.count("*").alias("n_docs"))
+def status_windows(spark: SparkSession, docs: DataFrame, time_col: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
+    """Documents by status in event-time windows; rows later than the watermark are dropped by Spark.
+
+    The time goes through the scan as a plain column and is watermarked after it, so windows can close.
+    """
+    kind = docs.schema[time_col].dataType.simpleString()
+    carried = docs.withColumn("source", F.col(time_col).cast("string"))
+    marks = summary(spark, carried).select(F.col("source").cast(kind).alias(time_col), "status").withWatermark(time_col, late)
+    return marks.groupBy(F.window(time_col, width), "status").agg(F.count("*").alias("n_docs"))
+
+
+def chunks(docs: DataFrame, size: int = spans.CHUNK, overlap: int = 2048) -> DataFrame:
+    """(doc_id, chunk, start, piece): texts above the streaming limit in overlapping pieces, others as one.
+
+    Starts are code points; every character but the overlap stands in one piece."""
+    n = F.length("text")
+    count = F.when(n > spans.STREAM_FROM, F.ceil(n / size)).otherwise(F.lit(1)).cast("int")
+    own = docs.where("text is not null").select("doc_id", "text", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda k: k * size)).alias("chunk", "start"), count.alias("n"))
+    piece = F.when(F.col("n") == 1, F.col("text")).otherwise(F.substr(F.col("text"), F.col("start") + 1, F.lit(size + overlap)))
+    return own.select("doc_id", "chunk", "start", piece.alias("piece"))
