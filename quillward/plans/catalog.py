@@ -369,20 +369,6 @@ def bomb_ratio(spark, sf_dir):
     return spark.createDataFrame(SIZES, "a long, b long").select("a", "b", D.bomb_class(F.col("a"), F.col("b")).alias("kind"))
 
 
-@query("select c_nationkey::bigint tool, count(*)::bigint copies from customer group by 1 having count(*) >= 2")
-def descriptor_collisions(spark, sf_dir):
-    """Names that two or more descriptors share; nations stand for tool names."""
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("tool")).agg(F.count("*").alias("copies")).where("copies >= 2")
-
-
-@query("select a.doc_id from documents a join (select doc_id, case when doc_id % 7 = 0 then text || '!' else text end as text from documents) b using (doc_id) where sha256(a.text) <> sha256(b.text)")
-def descriptor_rug_pull(spark, sf_dir):
-    """Rows whose digest differs from a baseline: an equi-join, then unequal hashes."""
-    now = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    base = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("b"))
-    return now.join(base, "doc_id").where("h <> b").select("doc_id")
-
-
 @query()
 def findings(spark, sf_dir):
     """All text findings with positions, context flags and priorities."""
