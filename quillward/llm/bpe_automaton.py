@@ -132,6 +132,8 @@ class MergeAutomaton:
             last = token[i]
             if i and last < 0:
                 continue
+            if token[n] >= 0:  # the one path is complete
+                break
             node, key = root, last << 17
             for j in range(i, n):
                 step = node.get(data[j])

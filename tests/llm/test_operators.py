@@ -343,7 +343,7 @@ def test_language_kernel_by_brute_force():
 
     import numpy as np
 
-    texts = {"en": ["the cat and the dog", "a house on the hill", "this is the end"], "de": ["der hund und die katze", "ein haus auf dem berg", "das ist das ende"]}
+    texts = {"de": ["der hund und die katze", "ein haus auf dem berg", "das ist das ende"], "en": ["the cat and the dog", "a house on the hill", "this is the end"]}
     labels, rows = [x for x in texts for _ in texts[x]], [t for x in texts.values() for t in x]
     model = language_id.KernelModel(labels, rows, 4, 15, 6, 1e-4, 6.0)
     sets = [set(language_id.presence(t, 4, 15).tolist()) for t in rows]
@@ -433,7 +433,7 @@ def test_lm_score_equals_plain_python(spark, monkeypatch):
     got = {x.doc_id: x for x in lm_score.score(spark, docs, known=40, inputs=20, stride=2).collect()}
     assert len(got) == len(rows)
     _, vocabulary, net = kept["out"]
-    keys = {i: next(lm_score.words_of(pa.array([t])), (np.zeros(0, np.uint64), None))[0] for i, t in rows}
+    keys = {i: next(lm_score.words_of(pa.array([t], pa.string())), (np.zeros(0, np.uint64), None))[0] for i, t in rows}
     counts = Counter(int(k) for x in keys.values() for k in x)
     known = set(sorted(counts, key=lambda k: (-counts[k], int(np.uint64(k).view(np.int64))))[:40])
     tail = sum(n for k, n in counts.items() if k not in known)
