@@ -67,6 +67,16 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", ext.alias("ext"), kinds[ext].alias("file_type"), F.col("length").alias("size"), "content")
 
 
+#: Bytes up to which an input is dealt out over all cores: it may lie in one row group, which one task reads.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores, by one exchange of at most SMALL bytes; larger ones have row groups enough."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, payload_id, file_type, text): documents with payloads spliced in at 200, or at the start.
 
@@ -78,7 +88,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = F.when(key == k, file_type) if kind is None else kind.when(key == k, file_type)
     spliced = F.concat(F.substring("text", 1, 200), F.lit(" "), payload, F.lit(" "), F.expr("substring(text, 201)"))
     joined = F.when(payload.isNull(), F.col("text")).when(key.isin(*LEADING), F.concat(payload, "text")).otherwise(spliced)
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", key.cast("int").alias("payload_id"), F.coalesce(kind, F.lit("text")).alias("file_type"), F.explode(F.array(joined)).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", key.cast("int").alias("payload_id"), F.coalesce(kind, F.lit("text")).alias("file_type"), F.explode(F.array(joined)).alias("text"))
 
 
 def quoted(text: str) -> str:
