@@ -298,6 +298,7 @@ EXPECTED = {
     31: [("S", "phrase", "Privilege escalation attempt", "warning", 1), ("S", "phrase", "Jailbreak keyword", "warning", 1)],
     32: [("S", "svg", "svg-javascript-href", "danger", 1), ("S", "svg", "svg-foreignobject-html", "warning", 1), ("S", "svg", "svg-cdata-section", "warning", 1), ("S", "svg", "svg-use-external-ref", "warning", 1)],
     33: [("S", "encoded", "multi-layer-encoded-payload", "danger", 1)],
+    34: [("I", "known-invisible", "Soft Hyphen", "warning", 1), ("S", "shadow", "Jailbreak keyword", "danger", 1)],
 }
 KEYS_OF = dict(zip("ICMSH", scan.COUNTS, strict=True))
 E_ = "(values " + ", ".join(f"({k}, '{b}', {quoted(d)}, {quoted(label)}, '{severity}', {n})" for k, rows in EXPECTED.items() for b, d, label, severity, n in rows) + ") e(payload, bucket, detector, label, severity, n)"
@@ -386,14 +387,17 @@ def findings_match_counts(spark, sf_dir):
     return spans.findings(spark, corpus(spark, sf_dir)).where("detector = 'phrase'").agg(F.count("*").alias("hits"))
 
 
-@query()
+@query(f"select doc_id, 'Jailbreak keyword' as name, 'danger' severity, 'nfkcNormalized' shadow, 9::bigint match_len from {C} where payload_id = 34")
 def shadow_nfkc(spark, sf_dir):
-    return spans.findings(spark, corpus(spark, sf_dir)).where("shadow like '%nfkcNormalized%'")
+    """Phrases that only the normalised text shows, with the length that they have in the given one."""
+    return spans.findings(spark, corpus(spark, sf_dir)).where("shadow like '%nfkcNormalized%'").select("doc_id", "name", "severity", "shadow", F.col("match_len").cast("long").alias("match_len"))
 
 
-@query()
+@query(f"select detector, severity, in_code, in_quote, in_url_query, sum(n * docs)::bigint findings from (values (20, 'phrase', 'warning', false, true, false, 1), (30, 'known-invisible', 'danger', false, false, true, 1), (30, 'variation-selectors', 'danger', false, false, true, 1), (31, 'phrase', 'warning', true, false, false, 2)) v(payload, detector, severity, in_code, in_quote, in_url_query, n) join (select payload_id, count(*) docs from {C} group by 1) c on payload = payload_id group by all")
 def context_demotion(spark, sf_dir):
-    return spans.findings(spark, corpus(spark, sf_dir)).where("in_code or in_quote").groupBy("detector", "severity").agg(F.count("*").alias("findings"))
+    """Findings in code, quotes and queries, with the severity they have there."""
+    found = spans.findings(spark, corpus(spark, sf_dir)).where("in_code or in_quote or in_url_query")
+    return found.groupBy("detector", "severity", "in_code", "in_quote", "in_url_query").agg(F.count("*").alias("findings"))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,6 +56,36 @@ def markdown_export(found: DataFrame, summaries: DataFrame) -> DataFrame:
     return summaries.join(rows, "doc_id", "left").select("doc_id", F.concat(F.lit("## "), F.col("doc_id"), F.lit(" ("), "status", F.lit(")\n\n"), F.coalesce(body, F.lit("No findings."))).alias("markdown"))
 
 
+#: Names of buckets and states in Japanese (fixed values); English ones are TITLES and the states themselves.
+JAPANESE = dict(zip([*rules.BUCKETS, "danger", "warning", "safe"], ["不可視Unicode", "制御文字", "隠しHTML", "不審なパターン", "ホモグリフ", "危険", "警告", "安全"], strict=True))
+
+
+def titled(name: Column, language: str = "en") -> Column:
+    """Name of a bucket or state in a language, as it stands where there is none."""
+    names = JAPANESE if language == "ja" else TITLES
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[name], name)
+
+
+def pdf_export(summaries: DataFrame, most: int = 50) -> bytes:
+    """A PDF page list of the first documents by id: one line each with status and counts (a report of ``most`` lines
+    by design); characters beyond ASCII become question marks."""
+    rows = summaries.select("doc_id", "status", "danger_count", "warning_count").orderBy("doc_id").limit(most).collect()
+    lines = ["Scan report", *[f"{r.doc_id}  {r.status}  danger {r.danger_count}  warning {r.warning_count}" for r in rows]]
+    clean = lambda x: re.sub(r"([\\()])", r"\\\1", x.encode("ascii", "replace").decode())
+    pages = [lines[i : i + 45] for i in range(0, len(lines), 45)]
+    kids = " ".join(f"{4 + 2 * k} 0 R" for k in range(len(pages)))
+    objects = ["<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Kids[{kids}]/Count {len(pages)}>>", "<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>"]
+    for k, page in enumerate(pages):
+        body = "BT /F1 11 Tf 50 800 Td 16 TL " + " ".join(f"({clean(x)}) Tj T*" for x in page) + " ET"
+        objects += [f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 595 842]/Resources<</Font<</F1 3 0 R>>>>/Contents {5 + 2 * k} 0 R>>", f"<</Length {len(body)}>>stream\n{body}\nendstream"]
+    out, places = "%PDF-1.4\n", []
+    for k, x in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{k} 0 obj\n{x}\nendobj\n"
+    table = "".join(f"{p:010d} 00000 n \n" for p in places)
+    return (out + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer<</Size {len(objects) + 1}/Root 1 0 R>>\nstartxref\n{len(out)}\n%%EOF").encode("ascii")
+
+
 def file_severity(found: DataFrame) -> DataFrame:
     """(doc_id, danger, warning): the form of a bulk list, where every control character and look-alike is a warning."""
     always = F.col("bucket").isin("controlChars", "homoglyphs")

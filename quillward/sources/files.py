@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillward.operators import spans
+from quillward.functions import rules
+from quillward.operators import sanitize, spans
 from quillward.plans.scan import MERGED_LENGTH, scored, worst_status
 from quillward.sources import containers, images, mail, office, rich
 from quillward.sources.corpus import FILE_TYPES
@@ -162,6 +163,29 @@ def mail_status(found: DataFrame) -> DataFrame:
     return own.withColumn("total", F.col("danger_count") + F.col("warning_count"))
 
 
+def sanitized_files(spark: SparkSession, files: DataFrame, mode: str = "strip") -> DataFrame:
+    """(path, name, cleaned, a count of each bucket, error) of files(path, content): the text of each, cleaned.
+
+    Text-like files keep their ending, others become .txt; archives are refused; Markdown is cleaned as plain text.
+    Of files that repeat a path each has its row."""
+    names = ["invisible_unicode", "control_chars", "hidden_html", "suspicious_patterns", "homoglyphs"]
+
+    def rows(batches):
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                name = sanitize.sanitized_name(path)
+                text, kind, _, error = read(path, data) if name else ("", "archive", [], "archives cannot be sanitized")
+                out, counts, _ = sanitize.sanitize(text, kind if kind in ("html", "csv", "xlsx") else "text", mode) if not error else (None, dict.fromkeys(rules.BUCKETS, 0), [])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name], pa.string()), pa.array([out], pa.string()), *[pa.array([c], pa.int64()) for c in counts.values()], pa.array([error], pa.string())], ["path", "name", "cleaned", *names, "error"])
+
+    return files.select("path", "content").mapInArrow(rows, "path string, name string, cleaned string, " + ", ".join(f"{n} long" for n in names) + ", error string")
+
+
+def save_sanitized(cleaned: DataFrame, folder: str) -> None:
+    """Writes cleaned files(name, cleaned) below a folder, one folder a file name, as text."""
+    cleaned.where("error is null").select("name", F.col("cleaned").alias("value")).write.mode("overwrite").partitionBy("name").text(folder)
+
+
 def kind_of_name(name: Column) -> Column:
     """text, html, markdown, binary or unsupported, by the extension of a file name."""
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))

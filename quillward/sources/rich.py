@@ -134,7 +134,7 @@ class Objects:
     def __init__(self, data: bytes):
         self.source: dict[int, str] = {}
         self.streams: dict[int, bytes] = {}
-        for m in re.finditer(rb"(\d{1,9})\s+\d{1,5}\s+obj\b(.*?)\bendobj", data, re.S):
+        for m in re.finditer(rb"(\d{1,9})\s+\d{1,5}\s+obj\b(.*?)endobj", data, re.S):
             self._add(int(m[1]), m[2])
         for k in list(self.streams):
             if "/ObjStm" in self.source[k]:

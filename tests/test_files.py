@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillward.functions import scalars
 from quillward.operators import exfil, fields, markup, payloads
@@ -90,3 +91,26 @@ def test_table_function_and_cleaner(spark):
     scalars.register(spark)
     assert spark.sql("select f.detector, f.position from text_findings('a jailbreak', 'text') f").collect() == [("phrase", 2)]
     assert spark.sql("select text_clean('a\u200bb', 'text', 'mask') c").first().c == "a[ZWSP]b"
+
+
+def test_cleaned_copies_of_files(spark, tmp_path):
+    rows = [("a/x.md", bytearray("ig\u200bnore <p hidden>y</p>".encode())), ("a/y.html", bytearray(b"<p hidden>y</p>z")), ("a/z.zip", bytearray(b"PK")), ("a/c.csv", bytearray(b"=cmd|x,1"))]
+    out = {r.path: r for r in files.sanitized_files(ready(spark), spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert [(out[p].name, out[p].cleaned) for p, _ in rows] == [("a/x_sanitized.md", "ignore <p hidden>y</p>"), ("a/y_sanitized.html", "<!-- [REMOVED: hidden element] -->z"), (None, None), ("a/c_sanitized.csv", "'=cmd|x\n1")]
+    assert out["a/z.zip"].error and out["a/c.csv"].suspicious_patterns == 1
+    own = spark.createDataFrame([("t.txt", bytearray(b"jailbreak now"))], "path string, content binary")
+    files.save_sanitized(files.sanitized_files(spark, own), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out" / "name=t_sanitized.txt")).collect()] == ["[REMOVED] now"]
+
+
+def test_pdf_report_reads_back(spark):
+    from quillward.plans import reports
+    from quillward.sources import rich
+    from quillward.sources.corpus import benign
+
+    rows = spark.createDataFrame([(i, "safe", 0, i) for i in range(60)], "doc_id long, status string, danger_count long, warning_count long")
+    text = rich.pdf(reports.pdf_export(rows))[0]
+    assert "Scan report" in text and "49  safe  danger 0  warning 49" in text and "50  safe" not in text
+    assert benign(spark, 50).collect() == benign(spark, 50).collect() != benign(spark, 50, 2).collect()
+    shown = spark.createDataFrame([("danger",), ("homoglyphs",)], "n string").select(reports.titled(F.col("n"), "ja").alias("t")).collect()
+    assert [r.t for r in shown] == ["危険", "ホモグリフ"]
