@@ -73,11 +73,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written once in the shared folder, so lost executors lose nothing."""
+    """Tables written once in the shared folder, so lost executors lose nothing. They stay until the driver ends, as
+    results read them late; drop_scratch() removes them before."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -93,6 +96,15 @@ class Scratch:
             pass
 
 
+def drop_scratch() -> None:
+    """Removes all scratch tables of this driver; results not yet written are lost."""
+    while Scratch.made:
+        Scratch.made.pop().drop()
+
+
+atexit.register(drop_scratch)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -77,7 +77,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         first = np.searchsorted(row, np.arange(j - i + 1))
         with np.errstate(over="ignore"):
             grams = np.zeros(len(words), np.uint64)
-            for k in range(width):
+            for k in range(min(width, len(words))):
                 moved = words[k:] if k else words
                 grams[: len(words) - k] += moved * np.uint64(2 * 0x6C62272E07BB0142 * k + 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         grams = common.mix64(grams)
