@@ -82,7 +82,7 @@ def test_ngram_join_equals_brute_force(spark):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
+@pytest.mark.parametrize("rounds", [0, 3])
 def test_ngram_join_does_not_depend_on_its_options(spark, rounds):
     chain, base = [], [f"c{k}" for k in range(60)]
     for i in range(7):
