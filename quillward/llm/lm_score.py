@@ -13,10 +13,10 @@ share of the corpus.
 
 All documents take part in all steps. (1) Tokens are counted over the corpus, in a written
 table that is never collected; the ``known`` most frequent go to the workers. (2) Every task
-trains the network on its own documents, on each ``stride``-th window of every document from
-an offset that differs by document, in one pass; the networks are averaged by the number of
-their windows, in two steps of bounded groups. It follows that the network, not the counts,
-depends on how the input is split. (3) Documents are scored; counts of tokens beyond the
+trains the network on all windows of its own documents, each once, in batches that take
+windows ``stride`` apart, as neighbours tell much the same; the networks are averaged by the
+number of their windows, in two steps of bounded groups. It follows that the network, not the
+counts, depends on how the input is split. (3) Documents are scored; counts of tokens beyond the
 known ones come from the table by a join on the token, once for each text of a task.
 
 Log-probabilities are rounded to 1e-4 and summed as integers, so equal texts score alike.
@@ -41,7 +41,8 @@ CLASSES, MEMBERS = 32, 32
 #: Log-probabilities are counted in units of 1 / UNIT.
 UNIT = 10_000
 HASHED, SLOT, SALTS = 1024, 1024, 64
-BATCH = 2048
+#: Windows of a training step.
+BATCH = 8192
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -179,34 +180,40 @@ class WindowNetwork:
 
     def step(self, ctx: np.ndarray, cls: np.ndarray, member: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step on a batch; sums: of squared gradients."""
-        embed, hidden_bias, top, prior, inner, bias = self.params
-        n, h = len(cls), self.hidden(ctx).astype(np.float64)
+        embed, _, top, prior, inner, bias = self.params
+        n, order = len(cls), np.argsort(cls.astype(np.int16), kind="stable")
+        ctx, cls, member = ctx[:, order], cls[order], member[order]
+        h = np.ascontiguousarray(self.hidden(ctx).T)
 
         def error(z, at):
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(z)), at] -= 1
-            return z / n
-
-        def move(i, g, where=...):
-            sums[i][where] += g * g
-            self.params[i][where] -= rate * g / np.sqrt(sums[i][where] + 1e-8)
-
-        e = error(h @ top + prior, cls)
-        dh, gradients = e @ top.T, [(2, h.T @ e, ...), (3, e.sum(0), ...)]
-        for k in np.unique(cls[cls < CLASSES]):
-            rows = np.flatnonzero(cls == k)
-            e = error(h[rows] @ inner[k] + (bias[k] + self.members[k]), member[rows])
-            dh[rows] += e @ inner[k].T
-            gradients += [(4, h[rows].T @ e, k), (5, e.sum(0), k)]
+            z -= z.max(0)
+            np.exp(z, out=z)
+            z /= z.sum(0)
+            z[at, np.arange(len(at))] -= 1
+            z /= n
+            return z
+
+        def move(param, total, g, where=...):
+            total[where] = now = total[where] + g * g
+            param[where] -= rate * g / np.sqrt(now + 1e-8)
+
+        w = top.astype(np.float32)
+        e = error(w.T @ h + prior.astype(np.float32)[:, None], cls)
+        dh, gradients = w @ e, [(2, h @ e.T, ...), (3, e.sum(1), ...)]
+        w, b = inner.astype(np.float32), (bias + self.members).astype(np.float32)
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(ends)):
+            rows = slice(ends[k], ends[k + 1])
+            e = error(w[k].T @ h[:, rows] + b[k][:, None], member[rows])
+            dh[:, rows] += w[k] @ e
+            gradients += [(4, h[:, rows] @ e.T, k), (5, e.sum(1), k)]
         dh *= 1 - h * h
-        for i, g, where in [*gradients, (1, dh.sum(0), ...)]:
-            move(i, g, where)
-        for side in range(4):
-            order = np.argsort(ctx[side], kind="stable")
-            rows = ctx[side][order]
-            begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            move(0, np.add.reduceat(dh[order], begins), (side, rows[begins]))
+        for i, g, where in [*gradients, (1, dh.sum(1), ...)]:
+            move(self.params[i], sums[i], g, where)
+        place = (ctx + np.arange(4)[:, None] * embed.shape[1]).ravel()
+        some = np.flatnonzero(np.bincount(place))
+        g = np.stack([np.bincount(place, np.tile(x, 4))[some] for x in dh.astype(np.float64)], axis=1).astype(np.float32)
+        move(embed.reshape(-1, len(h)), sums[0].reshape(-1, len(h)), g, some)
 
 
 def _count_words(batches):
@@ -244,28 +251,24 @@ def _trained(shared, hidden: int, seed: int, stride: int, rate: float):
         network = WindowNetwork(vocabulary, hidden, seed)
         sums = [np.zeros_like(p) for p in network.params]
         kept, held, windows = [], 0, 0
+
+        def step():
+            network.step(*(np.concatenate(x, axis=-1) for x in zip(*kept, strict=True)), sums, rate)
+
         for batch in batches:
             for keys, cut in words_of(batch.column("text")):
-                if not len(keys):
-                    continue
                 cls, member, _, own, _ = vocabulary.look_up(keys)
                 ctx = neighbours(own, cut, vocabulary.edge)
-                docs = np.flatnonzero(np.diff(cut))
-                first = common.mix64(keys[cut[docs]] ^ (np.diff(cut)[docs]).astype(np.uint64)) % np.uint64(stride)
-                offset = np.zeros(len(cut) - 1, np.int64)
-                offset[docs] = first.astype(np.int64)
-                doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-                at = np.flatnonzero((np.arange(len(keys)) - cut[doc]) % stride == np.minimum(offset, np.maximum(np.diff(cut) - 1, 0))[doc])
-                kept.append((ctx[:, at], cls[at], member[at]))
-                held += len(at)
-                while held >= BATCH:
-                    all_ = [np.concatenate([k[i] for k in kept], axis=-1) for i in range(3)]
-                    network.step(all_[0][:, :BATCH], all_[1][:BATCH], all_[2][:BATCH], sums, rate)
-                    kept, held, windows = [(all_[0][:, BATCH:], all_[1][BATCH:], all_[2][BATCH:])], held - BATCH, windows + BATCH
+                order, begin = np.concatenate([np.arange(k, len(keys), stride) for k in range(stride)]), 0
+                while begin < len(order):
+                    at = order[begin : begin + BATCH - held]
+                    kept.append((ctx[:, at], cls[at], member[at]))
+                    begin, held, windows = begin + len(at), held + len(at), windows + len(at)
+                    if held == BATCH:
+                        step()
+                        kept, held = [], 0
         if held:
-            all_ = [np.concatenate([k[i] for k in kept], axis=-1) for i in range(3)]
-            network.step(*all_, sums, rate)
-            windows += held
+            step()
         if windows:
             flat, task = network.flat(), TaskContext.get().partitionId()
             flat = np.concatenate([flat, np.zeros(-len(flat) % SLOT)]).reshape(-1, SLOT).astype(np.float32)

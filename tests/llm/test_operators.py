@@ -398,6 +398,31 @@ def test_network_learns_from_neighbours():
     assert abs(before + np.log(100)) < 0.3 and net.log_p(ctx, cls, member).mean() > before + 0.5
 
 
+def test_network_is_trained_on_every_window(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randint(0, 40)}" for _ in range(n)) for n in (0, 1, 3, 250, 17, 600)] + [None, "%%"]
+    column = pa.array(texts, pa.string())
+    keys, counts = np.unique(np.concatenate([k for k, _ in lm_score.words_of(column)]), return_counts=True)
+    vocabulary = lm_score.Vocabulary(keys, counts, int(counts.sum()), 20)
+    seen = []
+    monkeypatch.setattr(lm_score, "BATCH", 100)
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(lm_score.WindowNetwork, "step", lambda self, ctx, cls, member, sums, rate: seen.append(np.vstack([ctx, cls, member])))
+    batches = [pa.RecordBatch.from_arrays([column[i:j]], ["text"]) for i, j in ((0, 4), (4, 8))]
+    out = list(lm_score._trained(SimpleNamespace(value=vocabulary), 4, 1, 16, 0.1)(batches))
+    want = []
+    for k, cut in lm_score.words_of(column):
+        cls, member, _, into, _ = vocabulary.look_up(k)
+        want.append(np.vstack([lm_score.neighbours(into, cut, vocabulary.edge), cls, member]))
+    rows = lambda parts: sorted(map(tuple, np.hstack(parts).T.tolist()))
+    assert rows(seen) == rows(want) and [x.shape[1] for x in seen] == [100] * 8 + [72]
+    assert out[0].column("windows")[0].as_py() == 872
+
+
 def plain_log_p(net, vocabulary, rows, cls, member):
     """The summed log-probabilities of one document, in plain Python."""
     import math
