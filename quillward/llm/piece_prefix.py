@@ -9,9 +9,8 @@ the prefix before it. Two tokens are compatible when merging the characters of b
 these two; ``compatible`` finds that out by undoing merges from the seam outwards, and the answers
 are kept. The ids are then read off the table backwards, from the whole word to its start.
 
-Characters in no piece merge with nothing and become byte pieces. Words begin where a blank follows
-something else, as no piece of the model goes on over such a place (``load`` tests this, and takes
-whole texts as words otherwise). Time is linear in the text. Null is the empty text, which has no
+Characters in no piece merge with nothing and become byte pieces. Texts are cut into words where no
+piece of the model goes on over the cut (``cuts`` finds such places from the pieces). Time is linear in the text. Null is the empty text, which has no
 ids. Texts of any length are encoded whole; repeated rows, null ids and further columns of the input
 do not matter: one output row per input row, with the columns below only.
 """
@@ -39,9 +38,9 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: What an unknown id decodes to where the model names nothing else (fixed value of the format).
 UNKNOWN_TEXT = " ⁇ "
-#: Bounds per Python worker: bytes of the word cache (an entry counts ENTRY bytes beside its word),
-#: bytes of a cached word, and kept answers on pairs.
-CACHE_BYTES, ENTRY, CACHED_BYTES, PAIRS = 24 << 20, 192, 64, 400_000
+#: Bounds per Python worker: bytes of each of two word caches (an entry counts ENTRY bytes beside its
+#: word), characters of a cached word, and kept answers on pairs.
+CACHE_BYTES, ENTRY, CACHED, PAIRS = 32 << 20, 192, 64, 400_000
 
 
 def wire(data: bytes):
@@ -95,15 +94,11 @@ class PrefixTable:
         self.unknown = trainer.get(44, UNKNOWN_TEXT.encode()).decode()
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == NORMAL}
         self.compile()
-        inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        parts = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in parts)  # joined to nothing: words of their own
-        self.words = re.compile(".+" if inner else f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + f"|[{alone}]" * bool(alone), re.S)
+        self.words = re.compile(self.cuts(), re.S)
         self.labels = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(BLANK, " ").encode() for p, _, k in pieces]
         self.digits = [str(i) for i in range(len(pieces))]
         self.plain = not any(k == CONTROL or k == UNKNOWN for k in self.kinds[3:])
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.forget()
 
     def compile(self) -> None:
         """The last merge of every piece that merging can make, and the automaton over these pieces."""
@@ -129,7 +124,35 @@ class PrefixTable:
             raise ValueError("pieces of one score must be runs of one character")
         automaton.make_automaton()
         self.ends = automaton.iter
-        self.pairs: dict[int, bool] = {}
+        self.rows: list[dict[int, bool] | None] = [None] * len(self.pieces)
+        self.pairs = 0
+
+    def cuts(self) -> str:
+        """The pattern of words: parts of a text over whose ends no piece goes on.
+
+        Characters that stand side by side in a piece belong together. Words are runs of one of the two largest such
+        groups, or of what is in neither, with the blanks before them.
+        """
+        if any(BLANK in p.lstrip(BLANK) for p in self.ids):
+            return ".+"
+        head: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while head.setdefault(c, c) != c:
+                c = head[c]
+            return c
+
+        for p in self.ids:
+            own = p.lstrip(BLANK)
+            for a, b in zip(own, own[1:]):  # noqa: B905
+                head[find(a)] = find(b)
+        groups: dict[str, list[str]] = {}
+        for c in head:
+            groups.setdefault(find(c), []).append(c)
+        large = sorted(groups.values(), key=len)[-2:]
+        sets = ["".join(map(re.escape, sorted(g))) for g in large]
+        runs = [f"[{x}]+" for x in reversed(sets)] + [f"[^{BLANK}{''.join(sets)}]+"]
+        return f"{BLANK}*(?:{'|'.join(runs)})|{BLANK}+"
 
     def height(self, i: int) -> float:
         """The score of the merge that makes a token; single characters are there from the start."""
@@ -173,38 +196,42 @@ class PrefixTable:
     def word(self, text: str) -> bytes:
         """The ids of one word, four bytes each."""
         n = len(text)
-        last, size = [-1] * (n + 1), [1] * (n + 1)
-        pairs = self.pairs
+        rows = self.rows  # by token: whether another may follow it, and under -1 the token itself
+        last: list[dict | None] = [None] * (n + 1)
+        size, done = [1] * (n + 1), -1
         for end, (token, length) in self.ends(text):
-            end += 1
-            if last[end] >= 0:
+            if end == done:
                 continue
-            before = last[end - length]
-            if before >= 0:  # else the word begins here, or a character in no piece stands before
-                key = before << 20 | token
-                fits = pairs.get(key)
+            before = last[end + 1 - length]
+            if before is not None:  # else the word begins here, or a character in no piece stands before
+                fits = before.get(token)
                 if fits is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.compatible(before, token)
+                    fits = before[token] = self.compatible(before[-1], token)
+                    self.pairs += 1
                 if not fits:
                     continue
-            last[end], size[end] = token, length
-        out, at = array("I"), n
+            row = rows[token]
+            if row is None:
+                row = rows[token] = {-1: token}
+            last[end + 1], size[end + 1], done = row, length, end
+        out, at = [], n
         while at:
-            if last[at] >= 0:
-                out.append(last[at])
+            row = last[at]
+            if row is not None:
+                out.append(row[-1])
             else:
                 out.extend(self.bytes_at[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass")))
             at -= size[at]
         out.reverse()
-        return out.tobytes()
+        return array("I", out).tobytes()
 
     def remember(self, w: str) -> bytes:
-        got = self.word(w)
-        if len(w) <= CACHED_BYTES:
+        got = self.older.get(w) or self.word(w)
+        if self.pairs >= PAIRS:
+            self.rows, self.pairs = [None] * len(self.pieces), 0
+        if len(w) <= CACHED:
             if self.held >= CACHE_BYTES:
-                self.forget()
+                self.older, self.cache, self.held = self.cache, {}, 0
             self.cache[w] = got
             self.held += ENTRY + 2 * len(w) + len(got)
         return got
@@ -219,7 +246,7 @@ class PrefixTable:
 
     def forget(self) -> None:
         """Empty the cache, which only spares work: a worker lives through many stages."""
-        self.cache, self.held = {}, 0
+        self.cache, self.older, self.held = {}, {}, 0
 
     def decode(self, ids) -> str:
         """The text of any ids: without control pieces and the mark before the first word; bytes that are no character
