@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillward.functions import rules
 from quillward.functions.rules import CLASSES, pattern
-from quillward.operators import places
+from quillward.operators import elements, places
 from quillward.plans.catalog import C, query
 from quillward.sources.corpus import corpus, quoted, table
 
@@ -108,3 +108,52 @@ RANGE_ = f"doc_id, kind, {units_('text', 'a')}::int as start, {units_('text', 'b
 def context_ranges(spark, sf_dir):
     """Every range of code, quotes and address queries."""
     return places.context_ranges(corpus(spark, sf_dir))
+
+
+def elements_sql(docs: str) -> str:
+    """Common tables up to `elements`(rid, id, k, name, tag, depth, text_len), from docs(rid, id, html): start tags and their end
+    tags by counting what stands between them."""
+    names = lambda xs: ", ".join(map(quoted, xs))
+    by = " or ".join(f"(s.name = '{n}' and o.name in ({names(x)}))" for n, x in elements.ENDED.items())
+    blank = quoted(elements.BLANK)
+    size = f"length(x) + len(regexp_extract_all(x, '[\\x{{10000}}-\\x{{10FFFF}}]')) "
+    return f"""
+docs as ({docs}),
+cut as (select rid, id, {matches_(elements.TOKEN, "html")} as m from docs),
+stream as (select rid, id, unnest(range(1, len(m.g) + 1)) as k, unnest(list_transform(m.g, lambda g: regexp_replace(g, {blank}, '', 'g'))) as x, unnest(list_append(m.h, null)) as tag from cut),
+sized as (select rid, id, k, tag, sum({size}) over (partition by rid order by k) as text, lower(regexp_extract(tag, {quoted(elements.NAME)}, 1)) as name from stream),
+tags as (select *, case when name = '' or name in ({names(elements.VOID)}) then 0 when tag like '</%' then -1 else 1 end as delta from sized where tag is not null),
+last as (select rid, max(k) as l from sized group by rid),
+matched as (select s.rid, s.k, min(e.k) as e from tags s join tags e on e.rid = s.rid and e.name = s.name and e.k > s.k and s.delta = 1 and e.delta = -1
+  where (select coalesce(sum(delta), 0) from tags b where b.rid = s.rid and b.name = s.name and b.k > s.k and b.k <= e.k) = -1 group by all),
+paired as (select t.*, m.e from tags t left join matched m on m.rid = t.rid and m.k = t.k where delta = 1),
+marks as (select rid, k, 1 as d from matched union all select rid, e, -1 from matched),
+deep as (select p.*, (select count(*) from matched m where m.rid = p.rid and m.k <= p.k and m.e > p.k) as open from paired p),
+outers as (select s.rid, s.k, min(m.k) as o from deep s join marks m on m.rid = s.rid and m.k > s.k and m.d = -1 where s.e is null and s.open > 0
+  and (select sum(d) from marks b where b.rid = s.rid and b.k > s.k and b.k <= m.k) = -1 group by all),
+nexts as (select s.rid, s.k, min(o.k) as n from deep s join tags o on o.rid = s.rid and o.k > s.k and (o.delta = 1 or o.name = 'hr') and ({by}) group by all),
+ended as (select d.*, case when name = 'p' then least(e, n, case when e is null then least(o, l) end) else coalesce(e, least(o, n, l)) end as z from deep d join last l using (rid) left join outers using (rid, k) left join nexts using (rid, k)),
+elements as (select s.rid, s.id, s.k, s.name, s.tag, (s.open + (s.e is null)::int)::int as depth, (z.text - s.text)::bigint as text_len from ended s join sized z on z.rid = s.rid and z.k = s.z)"""
+
+
+PAGES_ = elements_sql("select row_number() over () as rid, page_id as id, html from pages where html is not null")
+
+
+@query(f"with {PAGES_} select id as page_id, name as element, count(*) as n_elements, max(depth) as max_depth, sum(text_len)::bigint as text_len from elements group by all")
+def page_elements(spark, sf_dir):
+    """Elements of every page by name: how many, how deep, and how much text they hold."""
+    found = elements.elements(table(spark, sf_dir, "pages"))
+    return found.groupBy(F.col("id").alias("page_id"), F.col("name").alias("element")).agg(F.count("*").alias("n_elements"), F.max("depth").alias("max_depth"), F.sum("text_len").alias("text_len"))
+
+
+STYLE_ = f"concat(regexp_extract(tag, {quoted(elements.STYLE)}, 1), regexp_extract(tag, {quoted(elements.STYLE)}, 2), regexp_extract(tag, {quoted(elements.STYLE)}, 3))"
+COLOUR_ = [f"lower(trim(regexp_extract(style, {quoted(pattern(p, 'i', 're2'))}, 1), ' '))" for p in (elements.FRONT, elements.BACK)]
+HOW_ = ", ".join(f"case when regexp_matches(style, {quoted(pattern(p, 'i', 're2'))}) then {quoted(t)} end" for p, t in rules.ELEMENT_STYLES)
+HOW_ += f", case when regexp_matches(regexp_replace(tag, {quoted(elements.QUOTED)}, '', 'g'), {quoted(elements.HIDDEN)}) then 'hidden attribute' end, case when {COLOUR_[0]} != '' and {COLOUR_[0]} = {COLOUR_[1]} then 'Same fg/bg color (' || {COLOUR_[0]} || ')' end"
+
+
+@query(f"with {elements_sql(f'select row_number() over () as rid, doc_id as id, text as html from {C} where file_type = {quoted("html")} and text is not null union all select -row_number() over () as rid, -1 - page_id, html from pages where html is not null')}, how as (select id, name, text_len, unnest([{HOW_}]) as technique from (select *, {STYLE_} as style from elements where text_len > 0)) select id, name as element, technique, text_len from how where technique is not null")
+def hidden_elements(spark, sf_dir):
+    """Hidden elements with text, once for each technique, of the corpus' HTML and of all pages (as -1 - page_id)."""
+    docs = corpus(spark, sf_dir).where("file_type = 'html'").select("doc_id", "text")
+    return elements.hidden(docs.unionByName(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))), "doc_id", "text")
