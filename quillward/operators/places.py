@@ -165,14 +165,15 @@ def range_streams(text: Column) -> Column:
     )
 
 
-def events(docs: DataFrame, ranges: bool = True, hits: bool = True) -> DataFrame:
-    """(rid, doc_id, units, what, k, gap, size, extra, role) of docs(doc_id, text), the events of a text in one task.
+def events(docs: DataFrame, ranges: bool = True, hits: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rid, doc_id, units, what, k, gap, size, extra, role) of docs(doc_id, text), the events of a text in one task, with
+    the columns of keep.
 
     A text without a hit has none. rid tells rows apart; it lives within this exchange only."""
     changed = folding()[0]
     strip = f"[{CLASSES['stripped']}]+"
     text = F.col("text")
-    own = docs.where("text is not null").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.where("text is not null").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     found = F.array().cast(NONE)
     if hits:
         whole, marks = folded(text)
@@ -181,12 +182,12 @@ def events(docs: DataFrame, ranges: bool = True, hits: bool = True) -> DataFrame
         # The class of all changed characters is dear to test: only what is rare is put to it, once each.
         rare = F.array_join(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F\x{C0}-\x{FF}]+", ""), "")), "")
         found = F.concat(rule_streams(text, "direct "), F.when(text.rlike(strip), less).otherwise(F.array().cast(NONE)), F.when(rare.rlike(f"[{changed}]"), alike).otherwise(F.array().cast(NONE)))
-    rows = own.select("rid", "doc_id", "text", F.explode(F.array(found)).alias("found"))
+    rows = own.select("rid", "doc_id", "text", *keep, F.explode(F.array(found)).alias("found"))
     if hits:
         rows = rows.where(F.exists("found", lambda e: ~e["what"].startswith("mark")))
     if ranges:
-        rows = rows.select("rid", "doc_id", "text", F.concat("found", range_streams(text)).alias("found"))
-    return rows.select("rid", "doc_id", F.explode(F.array(units(text))).alias("units"), "found").select("rid", "doc_id", "units", F.inline("found")).repartition("rid")
+        rows = rows.select("rid", "doc_id", "text", *keep, F.concat("found", range_streams(text)).alias("found"))
+    return rows.select("rid", "doc_id", *keep, F.explode(F.array(units(text))).alias("units"), "found").select("rid", "doc_id", *keep, "units", F.inline("found")).repartition("rid")
 
 
 def placed(found: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def hits_of(found: DataFrame) -> DataFrame:
     by the difference; a place inside it belongs to the whole stretch. The same window runs for the first and the last
     unit of a hit."""
     kind = F.split(F.col("what"), " ")
-    shadow = F.when(F.col("what").startswith("mark"), kind[1]).when(F.col("what").startswith("direct") | F.col("what").startswith(STRIPPED) | F.col("what").startswith(FOLDED), kind[0])
+    shadow = F.when(F.col("what").startswith("mark"), F.get(kind, 1)).when(F.col("what").startswith("direct") | F.col("what").startswith(STRIPPED) | F.col("what").startswith(FOLDED), F.get(kind, 0))
     mark = F.col("what").startswith("mark")
     out = found.withColumn("shadow", shadow).withColumn("_mark", mark)
     hit = F.col("shadow").isNotNull() & ~F.col("_mark")
@@ -263,21 +264,21 @@ def unexplained(hits: DataFrame) -> DataFrame:
 
 
 def phrase_places(docs: DataFrame, contexts: bool = True) -> DataFrame:
-    """(doc_id, name, severity, position, match_len, shadow) of every hit of a phrase rule in docs(doc_id, text), with
-    in_code, in_quote and in_url_query unless contexts is false. shadow is null for direct hits; for others it names
-    the shadows that show the hit, joined by a plus sign."""
+    """(doc_id, name, severity, position, match_len, shadow, text_len) of every hit of a phrase rule in docs(doc_id, text),
+    with in_code, in_quote and in_url_query unless contexts is false. shadow is null for direct hits; for others it
+    names the shadows that show the hit, joined by a plus sign. Severities are those of the rules."""
     found = hits_of(placed(events(docs, ranges=contexts)))
     if contexts:
         found = inside(ranges_of(found), "a")
     flags = [*FLAGS] if contexts else []
-    rule = F.element_at(F.split("what", " "), 2).cast("int")
+    rule = F.get(F.split("what", " "), 1).try_cast("int")
     names, severities = (F.array(*[F.lit(r[i]) for r in rules.PHRASE_RULES]) for i in (0, 3))
     hits = found.where("a is not null").withColumns({"name": F.get(names, rule), "severity": F.get(severities, rule)})
     kept = unexplained(hits)
     shadows = F.array_join(F.array_sort(F.collect_set(F.when(F.col("shadow") != "direct", F.col("shadow")))), "+")
     each = F.when(F.col("shadow") == "direct", F.col("what"))
-    out = kept.groupBy("rid", "doc_id", "name", "a", "b", each.alias("_direct")).agg(F.min("severity").alias("severity"), shadows.alias("shadow"), *(F.max(f).alias(f) for f in flags))
-    return out.select("doc_id", "name", "severity", F.col("a").cast("int").alias("position"), (F.col("b") - F.col("a")).cast("int").alias("match_len"), F.when(F.col("_direct").isNull(), F.col("shadow")).alias("shadow"), *flags)
+    out = kept.groupBy("rid", "doc_id", "name", "a", "b", each.alias("_direct")).agg(F.max("units").alias("text_len"), F.min("severity").alias("severity"), shadows.alias("shadow"), *(F.max(f).alias(f) for f in flags))
+    return out.select("doc_id", "name", "severity", F.col("a").cast("int").alias("position"), (F.col("b") - F.col("a")).cast("int").alias("match_len"), F.when(F.col("_direct").isNull(), F.col("shadow")).alias("shadow"), F.col("text_len").cast("int").alias("text_len"), *flags)
 
 
 def context_ranges(docs: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from quillward.functions import rules
 from quillward.functions.rules import CLASSES, pattern
-from quillward.operators import elements, places
+from quillward.operators import elements, places, spans
+from quillward.plans import scan
 from quillward.plans.catalog import C, query
 from quillward.sources.corpus import corpus, quoted, table
+from quillward.streaming import stream
 
 
 def starts_(gaps: str, hits: str) -> str:
@@ -81,7 +83,7 @@ all_ranges as (
 ranges as (select * from all_ranges where a < b)"""
 
 
-PLACE_ = f"{units_('source', 'a')}::int as position, ({units_('source', 'b')} - {units_('source', 'a')})::int as match_len"
+PLACE_ = f"{units_('source', 'a')}::int as position, ({units_('source', 'b')} - {units_('source', 'a')})::int as match_len, {units_('source', 'length(source)')}::int as text_len"
 
 
 @query(f"with {hits_sql()} select doc_id, name, severity, {PLACE_}, shadow from kept")
@@ -101,6 +103,40 @@ def phrase_contexts(spark, sf_dir):
     return places.phrase_places(corpus(spark, sf_dir))
 
 
+PRIORITY_ = " ".join(f"when {quoted(k)} then {v}" for k, v in rules.BASE_PRIORITY.items())
+LOWER_ = " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in spans.LADDER.items())
+NOISE_ = ", ".join(map(quoted, rules.NOISE))
+
+
+@query(f"""with recursive {hits_sql()}, {ranges_sql()},
+placed as (select doc_id, rid, name, severity as own, {PLACE_}, shadow, ({flag_(places.FLAGS['in_code'])} or {flag_(places.FLAGS['in_quote'])}) and name not in ({NOISE_}) as milder from kept k),
+moved as (select * exclude (own), case when milder then case own {LOWER_} else own end else own end as severity from placed),
+valued as (select *, floor(least(100.0::double, greatest(0.0::double, (case severity {PRIORITY_} else 10 end) * 1.1::double * case when text_len between 1 and 2000 then 1 + 0.15::double * greatest(0.0::double, 1 - position::double / text_len) else 1.0::double end)) + 0.5::double)::int as priority from moved where severity in ('danger', 'warning')),
+loud as (select *, count(*) over (partition by rid, name) as n from valued),
+one as (select *, row_number() over (partition by doc_id, name order by priority desc, position, match_len, shadow nulls first) as r from loud where name not in ({NOISE_}) or n >= {rules.TRANSCRIPT_LEAST}),
+two as (select *, row_number() over (partition by doc_id order by priority desc, name, position, match_len, shadow nulls first) as rank from one where r <= 2)
+select doc_id, name, severity, position, priority, rank::int as rank from two where rank <= 5""")
+def top_phrases(spark, sf_dir):
+    """The five foremost phrase hits of each document, at most two of a name, by priority after context."""
+    return scan.top_phrases(corpus(spark, sf_dir))
+
+
+#: Characters of a piece and of what it shares with the next in the chunked scan of the corpus.
+PIECE, SHARED = 4096, 512
+BIDI_CLASS = "".join(CLASSES[f"bidi_{k}"] for k in ("embedding", "override", "isolate"))
+
+
+@query(f"""with {hits_sql()},
+controls as (select rid, doc_id, text, {matches_(f"[{BIDI_CLASS}]")} as m from docs where regexp_matches(text, '[{BIDI_CLASS}]')),
+control as (select rid, doc_id, text as source, unnest(m.h) as hit, unnest({starts_("m.g", "m.h")}) as a from controls),
+marks as (select *, a + 1 as b, count(*) over (partition by rid, a // {PIECE}) as n from control)
+select doc_id, 'phrase' as detector, name, severity, {PLACE_} from direct
+union all select doc_id, 'bidi-control', null, case when n >= 3 or regexp_matches(hit, '[{CLASSES['bidi_override']}]') then 'danger' else 'warning' end, {PLACE_} from marks""".replace(f", {units_('source', 'length(source)')}::int as text_len", ""))
+def chunked_hits(spark, sf_dir):
+    """Phrase hits and direction controls of texts that are read in pieces; the same places as over whole texts."""
+    return stream.chunked(corpus(spark, sf_dir), PIECE, SHARED)
+
+
 RANGE_ = f"doc_id, kind, {units_('text', 'a')}::int as start, {units_('text', 'b')}::int as \"end\" from ranges join docs using (rid)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillward.functions import rules
 from quillward.operators import detectors as D
-from quillward.operators import spans
+from quillward.operators import places, spans
 
 #: Text length from which the place of a finding does not count: findings that were merged have it.
 MERGED_LENGTH = 2001
@@ -42,13 +42,37 @@ def merged(*parts: DataFrame) -> DataFrame:
     return scored(out, MERGED_LENGTH)
 
 
+def top_list(rows: DataFrame, display: str, by: list, per_display: int = 2, total: int = 5) -> DataFrame:
+    """The first `total` rows of each document in the order of by, at most per_display of a display, with their rank.
+
+    Every task keeps per_display rows of a group before the exchange (a limit that Spark puts before ranks that are
+    bounded), so what is shuffled and ranked grows with documents and not with their findings."""
+    own = rows.withColumn("_r", F.row_number().over(W.partitionBy("doc_id", display).orderBy(*by))).where(F.col("_r") <= per_display)
+    return own.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(*by))).where(F.col("rank") <= total).drop("_r")
+
+
+def without_noise(rows: DataFrame) -> DataFrame:
+    """Rows without the names that count as noise in a document with few of them; only these are counted."""
+    noise = F.coalesce("name", F.lit("")).isin(rules.NOISE)
+    few = rows.where(noise).groupBy("doc_id", "name").agg(F.count("*").alias("_n")).where(F.col("_n") < rules.TRANSCRIPT_LEAST).select(F.col("doc_id").alias("_doc"), F.col("name").alias("_name"))
+    return rows.join(few, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("name") == F.col("_name")), "left_anti")
+
+
 def top_findings(found: DataFrame, per_display: int = 2, total: int = 5) -> DataFrame:
     """Danger and warning findings by priority, at most two of a display category and five of a document."""
-    noisy = F.count("*").over(W.partitionBy("doc_id", "name"))
-    kept = found.where(F.col("severity").isin("danger", "warning")).withColumn("_c", noisy).where(~(F.coalesce("name", F.lit("")).isin(rules.NOISE) & (F.col("_c") < rules.TRANSCRIPT_LEAST)))
-    by = [F.desc("priority"), "display", "idx"]
-    own = kept.withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "display").orderBy(*by))).where(F.col("_r") <= per_display)
-    return own.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(*by))).where(F.col("rank") <= total).drop("_r", "_c")
+    kept = without_noise(found.where(F.col("severity").isin("danger", "warning")))
+    return top_list(kept, "display", [F.desc("priority"), "display", "idx"], per_display, total)
+
+
+def top_phrases(docs: DataFrame, per_name: int = 2, total: int = 5) -> DataFrame:
+    """(doc_id, name, severity, position, priority, rank) of the foremost phrase hits of docs(doc_id, text), after the rules
+    of their context, without Python."""
+    hits = places.phrase_places(docs)
+    milder = F.create_map(*[F.lit(x) for kv in spans.LADDER.items() for x in kv])
+    severity = F.when((F.col("in_code") | F.col("in_quote")) & ~F.col("name").isin(rules.NOISE), F.coalesce(milder[F.col("severity")], F.col("severity"))).otherwise(F.col("severity"))
+    rows = hits.withColumn("severity", severity).where(F.col("severity").isin("danger", "warning"))
+    rows = rows.withColumn("priority", D.priority(F.col("severity"), F.lit("suspiciousPatterns"), F.col("position"), F.col("text_len")))
+    return top_list(without_noise(rows), "name", [F.desc("priority"), "name", "position", "match_len", "shadow"], per_name, total).select("doc_id", "name", "severity", "position", "priority", "rank")
 
 
 COUNTS = ["invisible_unicode", "control_chars", "hidden_html", "suspicious_patterns", "homoglyphs"]
