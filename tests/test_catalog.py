@@ -3,7 +3,7 @@ import pytest
 from quillward.functions import rules
 from quillward.operators import detectors as D
 from quillward.operators import spans
-from quillward.plans import catalog, catalog_files, scan  # noqa: F401
+from quillward.plans import catalog, catalog_files, catalog_places, scan  # noqa: F401
 from quillward.session import ready
 
 DATA = "/root/testdata/sf0.001"
