@@ -57,6 +57,23 @@ PHRASE_PIECES = [
     ["human:"], ["assistant:"], ["###"], ["###"], ["<<sys>>"], ["<</sys>>"], ["#"],
 ]
 
+#: Line ends of the rules' dialect and what is none, and blanks within a line.
+_N, _L, _W = r"[\n\r\x{2028}\x{2029}]", r"[^\n\r\x{2028}\x{2029}]", r"[\t\x0B\f \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+#: Rules whose plain patterns take quadratic time in engines that go back, by place: a pattern with the same hits in
+#: linear time, and what a match of it must hold to be a hit (others only carry the search past what cannot match).
+#: A template stretches to the next closing brace; of a statement either no further word of a line can begin a hit,
+#: or all of them can (LOST finds the former); a heading takes all blank lines before it.
+LINEAR = {
+    19: (r"\{\{[^}]*(?:\}+|\z)", r"\A\{\{[^}]*?(?:system|prompt|instruction|ignore|forget|reveal|override|jailbreak|sudo|admin)[^}]*\}\}"),
+    21: (rf"(?:(?:DROP\s+TABLE|DELETE\s+FROM|INSERT\s+INTO)\s|UPDATE(?:\s(?!\s)(?:{_L}*+{_N}\s*+SET\s|{_L}+(?<=\s)SET\s)|\s\s++(?:{_L}*+{_N}\s*+SET\s|{_L}*(?<=\s)SET\s)))", ""),
+    42: (rf"(?:\A|(?<={_N}))(?:\s*+#{{1,6}}\s+(?:System|Assistant|User|Human|AI|Bot|Admin|Developer|Operator|Moderator|Agent|Tool|Function|Plugin|Skill|Workflow|Orchestrator|Subagent)\s*:|\s++)", "#"),
+}
+#: The rest of a line behind the last place where an update statement of it can end, if no next line goes on with one;
+#: and the words in it that begin nothing (one at its end may go on in the next line).
+LOST = (rf"(?:\A|(?<={_N})|(?<=\sSET\s))(?:(?!\sSET\s|UPDATE){_L})*+UPDATE(?:(?!\sSET\s){_L})*+(?={_N}|\z)(?!\s*+SET\s)", rf"(UPDATE)(?!{_W}*\z)")
+LOST_RULE = 21
+
 #: Rules that count as noise in transcripts below three hits.
 TRANSCRIPT_LEAST = 3
 NOISE = ["Conversation turn marker", "Alpaca format marker", "Llama2 system marker", "Markdown heading impersonation"]
@@ -224,6 +241,15 @@ def pattern(rule: str, flags: str = "i", engine: str = "java") -> str:
     if engine == "py":
         import re
 
-        out = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", out)
+        out = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", out).replace(r"\z", r"\Z")
         return f"(?a{flags})" + out
     return (f"(?{flags})" if flags else "") + out
+
+
+def linear(k: int, engine: str = "java") -> tuple[str, str]:
+    """The pattern that finds the hits of a phrase rule in linear time, and the test of a match ("" for none)."""
+    _, rule, flags, _ = PHRASE_RULES[k]
+    if k not in LINEAR:
+        return pattern(rule, flags, engine), ""
+    find, test = LINEAR[k]
+    return pattern(find, flags, engine), test and pattern(test, flags, engine)

@@ -36,10 +36,43 @@ def phrase_hits(text: str | Column, low: Column | None = None) -> list[Column]:
         some = low.contains(pieces[0])
         for x in pieces[1:]:
             some = some | low.contains(x)
-        out.append(F.when(some, hits(text, pattern(p, f))).otherwise(F.lit(0).cast("long")))
+        out.append(F.when(some, rule_hits(text, len(out))).otherwise(F.lit(0).cast("long")))
     return out
 
 
+def tamed(text: Column, put: str = "$1\uffff") -> Column:
+    """The text with words that begin no statement made unlike it; the mark behind them can be taken out again."""
+    lost, word = (pattern(p, "i") for p in rules.LOST)
+    return F.array_join(F.zip_with(F.split(text, lost, -1), F.regexp_extract_all(text, F.lit(lost), F.lit(0)), lambda a, x: F.concat(a, F.regexp_replace(F.coalesce(x, F.lit("")), word, put))), "")
+
+
+def rule_hits(text: str | Column, k: int) -> Column:
+    """Hits of a phrase rule in linear time."""
+    find, test = rules.linear(k)
+    text = F.col(text) if isinstance(text, str) else text
+    if not test:
+        return hits(tamed(text) if k == rules.LOST_RULE else text, find)
+    return F.coalesce(F.size(F.filter(F.regexp_extract_all(text, F.lit(find), F.lit(0)), lambda x: x.rlike(test))), F.lit(0)).cast("long")
+
+
+def without_rule(text: Column, k: int, put: str) -> Column:
+    """The text with put in place of the hits of a phrase rule."""
+    find, test = rules.linear(k)
+    if test:
+        one = lambda a, x: F.concat(a, F.when(x.rlike(test), put).otherwise(F.coalesce(x, F.lit(""))))
+        return F.array_join(F.zip_with(F.split(text, find, -1), F.regexp_extract_all(text, F.lit(find), F.lit(0)), one), "")
+    if k == rules.LOST_RULE:
+        marked = F.replace(F.regexp_replace(tamed(text), find, put), F.lit("\uffff"), F.lit(""))
+        return F.when(text.contains("\uffff"), F.regexp_replace(text, find, put)).otherwise(marked)
+    return F.regexp_replace(text, find, put)
+
+
+def upto(text: Column, end: str) -> Column:
+    """The text as far as the last end mark, from where on nothing that opens is closed."""
+    behind = F.instr(F.reverse(text), end[::-1])
+    return F.when(behind > 0, F.substr(text, F.lit(1), F.length(text) - behind + 1)).otherwise(F.lit(""))
+
+
 def summed(cells: list[Column]) -> Column:
     total = cells[0]
     for c in cells[1:]:
@@ -104,7 +137,8 @@ def like_instruction(text: str | Column) -> Column:
 
 def image_links(text: str | Column) -> Column:
     """Inline Markdown images: array of (url, strong, weak) with their query keys counted."""
-    urls = F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(\s*([^)\s]+)"), F.lit(1))
+    urls = F.regexp_extract_all(text, F.lit(r"!\[[^\]]*(?:\]\(\s*([^)\s]+)|\]|\z)"), F.lit(1))  # what is no image is passed up to its bracket
+    urls = F.filter(urls, lambda u: u != "")
 
     def keyed(u):
         query = F.regexp_extract(u, r"\?([^#]*)", 1)
@@ -188,6 +222,18 @@ def plain_sanitize(out: Column, file_type: Column | None = None) -> Column:
     return F.element_at(F.transform(F.array(out), without_phrases), 1)
 
 
+def _linear_step(k: int):
+    """A rule that names its text often, where the text holds a piece of it."""
+    def step(x):
+        low = F.lower(x)
+        some = low.contains(rules.PHRASE_PIECES[k][0])
+        for piece in rules.PHRASE_PIECES[k][1:]:
+            some = some | low.contains(piece)
+        return F.when(some, without_rule(x, k, "[REMOVED]")).otherwise(x)
+
+    return step
+
+
 def without_phrases(text: Column) -> Column:
     """Every phrase rule's matches replaced, rule by rule; texts without a piece of any rule pass as they are."""
     low = F.lower(text)
@@ -195,8 +241,8 @@ def without_phrases(text: Column) -> Column:
     for piece in sorted({p for pieces in rules.PHRASE_PIECES for p in pieces}):
         some = some | low.contains(piece)
     out = text
-    for _, p, f, _ in rules.PHRASE_RULES:
-        out = F.regexp_replace(out, pattern(p, f), "[REMOVED]")
+    for k, (_, p, f, _) in enumerate(rules.PHRASE_RULES):
+        out = F.element_at(F.transform(F.array(out), _linear_step(k)), 1) if k in rules.LINEAR else F.regexp_replace(out, pattern(p, f), "[REMOVED]")
     return F.when(some, out).otherwise(text)
 
 

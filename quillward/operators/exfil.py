@@ -9,11 +9,13 @@ from html import unescape
 from urllib.parse import parse_qsl, urlsplit
 
 from quillward.functions import rules
+from quillward.functions.linear import opened, upto
 from quillward.operators.markup import compiled, escaped
 
 INLINE = compiled(r"!\[([^\]]*)\]\(\s*(\S+?)(?:\s+[\"'][^\"']*[\"'])?\s*\)", "")
 REFERENCE = compiled(r"!\[([^\]]*)\]\[([^\]]+)\]", "")
-DEFINITION = compiled(r"^\s*\[([^\]]+)\]:\s*(\S+)", "m")
+DEFINITION = compiled(r"\[([^\]]+)\]:\s*(\S+)", "")
+BANG, LINE_BRACKET, TAG = re.compile(r"!\["), re.compile(r"^[^\S\n]*\[", re.M), re.compile(r"(?i)<img\b")
 IMAGE = compiled(r"<img\b[^>]*?\bsrc\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>'\"]+))[^>]*>")
 PERCENT = re.compile("%(?:2[0Ff]|26|3[DdFf]|23)")
 ENTITY = re.compile("&(?:quot|apos|amp|lt|gt);|&#[0-9]+;|&#[xX][0-9a-fA-F]+;")
@@ -134,6 +136,19 @@ def verdict(raw: str) -> tuple[str, str, dict] | None:
     return found and (found[0], found[1], found[2] | {"percentDecoded": True})
 
 
+def definitions(text: str):
+    """Definitions of references: brackets at the start of a line that a colon follows."""
+    at = 0
+    while m := LINE_BRACKET.search(text, at):
+        end = text.find("]", m.end())
+        if end < 0:
+            return
+        found = DEFINITION.match(text, m.end() - 1) if text.startswith(":", end + 1) else None
+        if found:
+            yield found
+        at = max(found.end() if found else end + 1, m.start() + 1)
+
+
 def images(text: str) -> list[dict]:
     """Findings of inline images, reference images (at their definition) and <img> elements."""
     out = []
@@ -144,17 +159,17 @@ def images(text: str) -> list[dict]:
 
     if "![" in text:
         named = {}
-        for m in DEFINITION.finditer(text):
+        for m in definitions(text):
             if m[1].strip():
                 named[m[1].strip().lower()] = (m[2], m.start(2))
-        for m in INLINE.finditer(text):
+        for m in opened(text, BANG, "]", "(", INLINE):
             say("md-image", m[2], m.start(2), verdict(m[2]))
-        for m in REFERENCE.finditer(text):
+        for m in opened(text, BANG, "]", "[", REFERENCE):
             if m[2].strip().lower() in named:
                 url, at = named[m[2].strip().lower()]
                 say("md-image-ref", url, at, verdict(url))
     if "<" in text:
-        for m in IMAGE.finditer(text):
+        for m in opened(upto(text, ">"), TAG, ">", "", IMAGE):
             k = next(k for k in (1, 2, 3) if m[k])
             url, found = m[k], verdict(m[k])
             if not found and "&" in url:

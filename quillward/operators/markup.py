@@ -11,6 +11,7 @@ import re
 from html.parser import HTMLParser
 
 from quillward.functions import rules
+from quillward.functions.linear import upto
 from quillward.functions.rules import pattern
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +30,7 @@ FRONT, BACK = compiled(r"(?:^|;)\s*color\s*:\s*([^;]+)"), compiled(r"background(
 COMMENT = re.compile(r"<!--(.*?)-->", re.S)
 WORDS = [compiled(w) for w in rules.INSTRUCTION_WORDS]
 SVG = {name: (compiled(p, "" if name == "svg-cdata-section" else "i"), severity) for name, p, severity in rules.SVG_RULES}
+ENDS = {"svg-script-element": ">", "svg-foreignobject-html": ">", "svg-use-external-ref": ">", "svg-cdata-section": "]]>"}
 USE_HREF = compiled(r"\s(?:xlink:href|href)\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>]+))")
 ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
 TRIM = pattern(r"\s", "", "py").removeprefix("(?a)")
@@ -123,7 +125,7 @@ def hidden(text: str) -> list[dict]:
     for parts in page.styles:
         css = "".join(parts)
         out += [{"detector": "css-rule", "element": "<style>", "technique": f"CSS rule: {source}", "content": "(stylesheet contains hiding rules)", "severity": "warning"} for source, p in CSS if p.search(css)]
-    for m in COMMENT.finditer(text):
+    for m in COMMENT.finditer(upto(text, "-->")):
         own = trimmed(m[1])
         if len(own) > 10 and like_instruction(own):
             out.append({"detector": "html-comment", "element": "<!-- comment -->", "technique": "HTML comment with instruction", "content": escaped(own[:200]), "severity": "warning"})
@@ -141,7 +143,7 @@ def vector(text: str) -> list[dict]:
 
     for name, (regex, severity) in SVG.items():
         n = 0
-        for m in regex.finditer(text):
+        for m in regex.finditer(upto(text, ENDS[name]) if name in ENDS else text):
             if n >= rules.SVG_CAP:
                 break
             element, content, meta = "svg", m[0], None

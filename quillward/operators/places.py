@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from quillward.functions import rules
 from quillward.functions.rules import CLASSES, pattern
+from quillward.operators import detectors as D
 
 #: Characters that an escaped match shows as so many more.
 ESCAPED = {"&": 4, "<": 3, ">": 3, '"': 5, "'": 4}
 #: Shadows of a text, in the order in which a hit names them.
 STRIPPED, FOLDED = "invisibleStripped", "nfkcNormalized"
 #: Ranges: a fence opens or closes, code within a line, code elements, quoted lines, addresses.
-FENCE = r"(\A|\n)[ \t]{0,3}(`{3,}|~{3,})[^\n]*\n"
+FENCE = r"(\A|\n)[ \t]{0,3}(`{3,}+|~{3,}+)[^\n]*\n"
 INLINE = r"`[^`\n]+`"
 TAG = r"(?i)<(?:pre|code)\b[^<>]*>|</(?:pre|code)>"
 QUOTE = r"(?:\A|(?<=\n))[ \t]*>[^\n]*"
@@ -85,12 +86,13 @@ def event(what: Column, k: Column, gap: Column, size: Column, extra: Column, rol
 NONE = "array<struct<what:string,k:int,gap:int,size:int,extra:int,role:string>>"
 
 
-def stream(text: Column, regex: Column | str, what: Column | str, extra=None, roles: Column | None = None) -> Column:
-    """The events of the matches of a pattern; extra: a function of the match; roles: an array with one for each match."""
+def stream(text: Column, regex: Column | str, what: Column | str, extra=None, roles: Column | None = None, test: Column | None = None) -> Column:
+    """The events of the matches of a pattern; extra: a function of the match; roles: an array with one for each match.
+    Matches without what test finds are passed: their role is `pass`, and placed() drops them."""
     regex, what = (F.lit(x) if isinstance(x, str) else x for x in (regex, what))
 
     def events(found):
-        one = lambda m, i: event(what, i, units(F.get(found["gaps"], i)), units(m), extra(m) if extra else F.lit(0), F.get(found["roles"], i))
+        one = lambda m, i: event(what, i, units(F.get(found["gaps"], i)), units(m), extra(m) if extra else F.lit(0), F.get(found["roles"], i) if test is None else F.when(~F.rlike(m, test), "pass"))
         return F.transform(found["hits"], one)
 
     own = F.array().cast("array<string>") if roles is None else roles
@@ -100,11 +102,16 @@ def stream(text: Column, regex: Column | str, what: Column | str, extra=None, ro
 
 def rule_streams(text: Column, kind: str) -> Column:
     """The streams of all phrase rules of which a text holds a piece: what is the kind and the rule's number."""
-    known = F.array(*[F.struct(F.lit(f"{kind}{k}").alias("what"), F.lit(pattern(p, f)).alias("regex"), F.array(*map(F.lit, pieces)).alias("pieces")) for k, ((_, p, f, _), pieces) in enumerate(zip(rules.PHRASE_RULES, rules.PHRASE_PIECES, strict=True))])
+    known = F.array(*[F.struct(F.lit(f"{kind}{k}").alias("what"), F.lit(rules.linear(k)[0]).alias("regex"), F.lit(rules.linear(k)[1]).alias("test"), F.array(*map(F.lit, pieces)).alias("pieces")) for k, pieces in enumerate(rules.PHRASE_PIECES)])
+    lost = f"{kind}{rules.LOST_RULE}"
 
     def of(t):
         some = lambda low: F.filter(known, lambda r: F.exists(r["pieces"], lambda x: low.contains(x)))
-        return F.flatten(F.transform(let(F.lower(t), some), lambda r: stream(t, r["regex"], r["what"], shown)))
+        def hits(r):
+            own = F.when(r["what"] == lost, D.tamed(t, "UPDAT_")).otherwise(t)
+            return let(own, lambda x: stream(x, r["regex"], r["what"], shown, test=r["test"]))
+
+        return F.flatten(F.transform(let(F.lower(t), some), hits))
 
     return let(text, of)
 
@@ -197,7 +204,7 @@ def placed(found: DataFrame) -> DataFrame:
     none = F.lit(0)
     out = found.withColumns({"_gaps": F.sum("gap").over(to), "_sizes": F.coalesce(F.sum("size").over(before), none), "_extras": F.coalesce(F.sum("extra").over(before), none)})
     out = out.withColumn("start", F.col("_gaps") + F.col("_sizes")).withColumn("place", F.when(F.col("what").startswith("mark"), F.col("_gaps") + F.col("_extras")))
-    return out.drop("_gaps", "_sizes", "_extras", "gap")
+    return out.where(F.col("role").isNull() | (F.col("role") != "pass")).drop("_gaps", "_sizes", "_extras", "gap")
 
 
 def hits_of(found: DataFrame) -> DataFrame:

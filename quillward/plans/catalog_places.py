@@ -59,7 +59,7 @@ def ranges_sql(docs: str = "docs") -> str:
         return f"{name}_m as (select rid, length(text) as n, {matches_(regex)} as m{more} from {docs} where {some}), {name} as (select * exclude (m, s), s as a, s + length(hit) as b from (select * exclude (m), m, unnest(m.h) as hit, unnest({starts_('m.g', 'm.h')}) as s, unnest(range(1, len(m.h) + 1)) as i from {name}_m))"
 
     return f"""
-{rows("fences", places.FENCE, "regexp_matches(text, '```|~~~')")},
+{rows("fences", places.FENCE.replace("}+", "}"), "regexp_matches(text, '```|~~~')")},
 marks as (select rid, i, n, ltrim(hit, chr(10) || chr(9) || ' ')[1] as mark, b as opened, a + (hit[1] = chr(10))::int as closed from fences),
 fold as (
   select rid, 1::bigint as i, opened as since, mark, null::bigint as a, null::bigint as b, n from marks where i = 1
