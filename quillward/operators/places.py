@@ -197,6 +197,12 @@ def events(docs: DataFrame, ranges: bool = True, hits: bool = True, keep: tuple[
     return rows.select("rid", "doc_id", *keep, F.explode(F.array(units(text))).alias("units"), "found").select("rid", "doc_id", *keep, "units", F.inline("found")).repartition("rid")
 
 
+def events_of(docs: DataFrame, streams: Column) -> DataFrame:
+    """(rid, doc_id, events) of the streams of docs(doc_id, text), the events of a row in one task."""
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(streams)).alias("found"))
+    return own.select("rid", "doc_id", F.inline("found")).repartition("rid")
+
+
 def placed(found: DataFrame) -> DataFrame:
     """Events with start, and with place: where the event stands in the shadow that its mark makes."""
     order = Window.partitionBy("rid", "what").orderBy("k")

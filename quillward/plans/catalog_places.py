@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillward.functions import rules
 from quillward.functions.rules import CLASSES, pattern
-from quillward.operators import elements, places, spans
+from quillward.operators import elements, encoded, places, spans
 from quillward.plans import scan
 from quillward.plans.catalog import C, query
 from quillward.sources.corpus import corpus, quoted, table
@@ -193,3 +193,34 @@ def hidden_elements(spark, sf_dir):
     """Hidden elements with text, once for each technique, of the corpus' HTML and of all pages (as -1 - page_id)."""
     docs = corpus(spark, sf_dir).where("file_type = 'html'").select("doc_id", "text")
     return elements.hidden(docs.unionByName(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))), "doc_id", "text")
+
+
+CODE_ = f"case when starts_with(r, '&#x') then ('0x' || regexp_extract(r, {quoted(encoded.REF)}, 1))::bigint else regexp_extract(r, {quoted(encoded.REF)}, 2)::bigint end"
+DECODED_ = "(?i)" + "|".join(f"(?:{pattern(p, '', 're2')})" for p in rules.DECODED_PHRASES)
+
+
+@query(f"""with docs as (select row_number() over () as rid, doc_id, text, {matches_(encoded.REF)} as m from {C} where contains(text, '&#')),
+spelled as (select *, list_transform(m.h, lambda r: case when length(r) > 12 or {CODE_} > 1114111 then r when {CODE_} between 55296 and 57343 then chr(65533) else chr(({CODE_})::int) end) as letters from docs),
+hits as (select * from spelled where regexp_matches(substr(array_to_string(list_transform(range(1, len(m.g) + 1), lambda i: m.g[i] || coalesce(letters[i], '')), ''), 1, {encoded.SEARCHED}), {quoted(DECODED_)})),
+refs as (select rid, doc_id, text, unnest(m.h) as hit, unnest({starts_('m.g', 'm.h')}) as s from hits),
+marked as (select *, s + length(hit) as e, case when lag(s + length(hit)) over (partition by rid order by s) = s then 0 else 1 end as fresh from refs),
+numbered as (select *, sum(fresh) over (partition by rid order by s) as run from marked),
+runs as (select rid, doc_id, run, any_value(text) as text, min(s) as a, max(e) as b, count(*) as n from numbered group by all),
+best as (select *, row_number() over (partition by rid order by b - a desc, a) as r, count(*) over (partition by rid) as n_islands, sum(n) over (partition by rid) as n_refs from runs)
+select doc_id, {units_('text', 'a')}::int as position, (b - a)::int as match_len, n_islands, n_refs::bigint as n_refs from best where r = 1""")
+def entity_payloads(spark, sf_dir):
+    """Numeric references that spell an instruction, at their longest run."""
+    return encoded.entity_payloads(corpus(spark, sf_dir))
+
+
+def listed_() -> str:
+    rows = [(h, "true", "image-only", 2) for h in rules.IMAGE_HOSTS] + [(h, "false", "image-only", 2) for h in rules.CONTENT_HOSTS] + [(h, "true", "trusted-allowlist", 1) for h in rules.TRUSTED_HOSTS]
+    return "(values " + ", ".join(f"('{h}', {b}, '{t}', {r})" for h, b, t, r in rows) + ") as l(suffix, below, tier, rank)"
+
+
+@query(f"""with urls as (select row_number() over () as one, doc_id, url, lower(regexp_extract(url, {quoted(encoded.HOST)}, 1)) as host from (select doc_id, unnest(regexp_extract_all(text, {quoted(r'!\[[^\]]*\]\(\s*([^)\s]+)')}, 1)) as url from {C})),
+known as (select u.*, l.*, row_number() over (partition by one order by rank desc, length(suffix) desc, tier desc, suffix desc) as r from urls u left join {listed_()} on l.suffix = host or (l.below and ends_with(host, '.' || l.suffix)) where host != '')
+select doc_id, url, host, case when rank = 2 then tier when regexp_matches(host, {quoted(encoded.DOTTED)}) then case when regexp_matches(host, {quoted(encoded.PRIVATE)}) then 'ip-literal-private' else 'ip-literal-public' end else coalesce(tier, 'unknown') end as tier, suffix as matched from known where r = 1""")
+def image_host_tiers(spark, sf_dir):
+    """Inline images with the tier of their host."""
+    return encoded.image_hosts(corpus(spark, sf_dir))
