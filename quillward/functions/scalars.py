@@ -127,7 +127,8 @@ def mixed_script(text: Column) -> Column:
 
 def register(spark: SparkSession) -> SparkSession:
     """Makes the findings a table function and the sanitizer a function of SQL: text_findings(text, file_type), text_clean(text, file_type, mode)."""
-    from pyspark.sql.functions import udf, udtf
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf, udtf
 
     from quillward.operators import sanitize, spans
     from quillward.session import ready
@@ -140,5 +141,10 @@ def register(spark: SparkSession) -> SparkSession:
 
     spark = ready(spark)
     spark.udtf.register("text_findings", Findings)
-    spark.udf.register("text_clean", udf(lambda text, file_type, mode: None if text is None else sanitize.sanitize(text, file_type or "text", mode)[0], "string"))
+
+    @pandas_udf("string")
+    def clean(text: pd.Series, file_type: pd.Series, mode: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else sanitize.sanitize(t, k or "text", m)[0] for t, k, m in zip(text, file_type, mode, strict=True)], dtype=object)
+
+    spark.udf.register("text_clean", clean)
     return spark

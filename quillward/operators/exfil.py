@@ -23,10 +23,20 @@ SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
 
 
 def extra_hosts() -> list[str]:
-    """Trusted hosts that the environment adds, comma-separated."""
+    """Trusted hosts that the driver's environment adds, comma-separated."""
     return [h for h in (x.strip().lower() for x in os.environ.get("TRUSTED_HOSTS_EXTRA", "").split(",")) if re.fullmatch(r"[a-z0-9.\-]+", h)]
 
 
+#: Trusted hosts of this process, fixed ones first; use() sets those that the driver was given.
+TRUSTED = frozenset(rules.TRUSTED_HOSTS)
+
+
+def use(hosts: list[str]) -> None:
+    """In a task: trust the hosts that extra_hosts() gave where the job was made, whatever this machine's environment says."""
+    global TRUSTED
+    TRUSTED = frozenset([*rules.TRUSTED_HOSTS, *hosts])
+
+
 def below(host: str, names) -> bool:
     """Whether the host is one of the names or lies below one."""
     parts = host.split(".")
@@ -75,7 +85,7 @@ def tier(host: str) -> str:
     ip = address(host)
     if ip is not None:
         return "ip-literal-private" if private(ip) else "ip-literal-public"
-    return "trusted-allowlist" if below(host, frozenset([*rules.TRUSTED_HOSTS, *extra_hosts()])) else "unknown"
+    return "trusted-allowlist" if below(host, TRUSTED) else "unknown"
 
 
 def split_url(raw: str) -> tuple[str, str] | None:

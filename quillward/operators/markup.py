@@ -132,11 +132,10 @@ def hidden(text: str) -> list[dict]:
     return out
 
 
-def vector(text: str) -> list[dict]:
-    """Markup rules of vector images, at most SVG_CAP findings of each."""
+def vector(text: str, most: int | None = rules.SVG_MOST, cap: int | None = rules.SVG_CAP) -> list[dict]:
+    """Markup rules of vector images in the first most characters, at most cap findings of each; None lifts either."""
     out = []
-    if len(text) > rules.SVG_MOST:
-        text = text[: rules.SVG_MOST]
+    text = text if most is None else text[:most]
 
     def value(m, first):
         return next((m[k] for k in range(first, first + 3) if m[k] is not None), "")
@@ -144,7 +143,7 @@ def vector(text: str) -> list[dict]:
     for name, (regex, severity) in SVG.items():
         n = 0
         for m in regex.finditer(upto(text, ENDS[name]) if name in ENDS else text):
-            if n >= rules.SVG_CAP:
+            if cap is not None and n >= cap:
                 break
             element, content, meta = "svg", m[0], None
             if name == "svg-event-handler":

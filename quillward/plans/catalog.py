@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillward.functions import rules
 from quillward.functions.rules import CLASSES, pattern
 from quillward.operators import detectors as D
-from quillward.operators import sanitize, spans
+from quillward.operators import markup, sanitize, spans
 from quillward.plans import scan
 from quillward.sources.corpus import corpus, corpus_sql, quoted, table
 
@@ -196,7 +196,7 @@ def _html(spark, sf_dir):
 
 @query(f"select id, count(*)::bigint comments, count(*) filter (length(trim(b)) > 10 and {like_('b')})::bigint instruction_comments from (select id, unnest(regexp_extract_all(text, '(?s)<!--(.*?)-->', 1)) b from {PAGES_}) group by id")
 def html_comments(spark, sf_dir):
-    b = _html(spark, sf_dir).select("id", F.explode(F.regexp_extract_all("text", F.lit("(?s)<!--(.*?)-->"), F.lit(1))).alias("b"))
+    b = _html(spark, sf_dir).select("id", F.explode(F.regexp_extract_all(D.upto(F.col("text"), "-->"), F.lit("(?s)<!--(.*?)-->"), F.lit(1))).alias("b"))
     return b.groupBy("id").agg(F.count("*").alias("comments"), F.count_if((F.length(F.trim("b")) > 10) & D.like_instruction(F.col("b"))).alias("instruction_comments"))
 
 
@@ -227,7 +227,8 @@ def svg_(rule: str) -> str:
 def svg_rules(spark, sf_dir):
     def count(rule):
         whole, more = SVG_WHOLE[rule]
-        return F.size(F.filter(F.regexp_extract_all("text", F.lit(pattern(whole)), F.lit(0)), lambda x: x.rlike(pattern(more)))).cast("long")
+        text = D.upto(F.col("text"), markup.ENDS[rule]) if rule in markup.ENDS else F.col("text")  # what is never closed is not tried
+        return F.size(F.filter(F.regexp_extract_all(text, F.lit(pattern(whole)), F.lit(0)), lambda x: x.rlike(pattern(more)))).cast("long")
 
     rows = F.array(*[F.struct(F.lit(t).alias("technique"), F.lit(s).alias("severity"), F.least(count(t), F.lit(rules.SVG_CAP).cast("long")).alias("findings")) for t, _, s in rules.SVG_RULES])
     return _html(spark, sf_dir).select("id", F.inline(rows)).where("findings > 0")

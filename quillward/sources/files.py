@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillward.functions import rules
-from quillward.operators import sanitize, spans
+from quillward.operators import exfil, sanitize, spans
 from quillward.plans.scan import MERGED_LENGTH, scored, worst_status
 from quillward.sources import containers, images, mail, office, rich
 from quillward.sources.corpus import FILE_TYPES
@@ -92,8 +92,10 @@ def scan_files(spark: SparkSession, files: DataFrame, categories: list[str] | No
     """Findings of files(path, content): those of the text, then the structural ones, each bucket numbered on, with
     priorities as for merged findings. Matches inside decoded image fields are not shown."""
     names = ["path", *spans.FIELDS]
+    hosts = exfil.extra_hosts()
 
     def rows(batches):
+        exfil.use(hosts)
         for batch in batches:
             out = []
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -135,8 +137,10 @@ def scan_mails(spark: SparkSession, mails: DataFrame) -> DataFrame:
     attachment, and structural ones."""
     names = ["path", "section", *spans.FIELDS]
     labels = {"headers": "Headers", "extended_headers": "Extended Headers", "body": "Body", "html": "HTML Body", "attachment_names": "Attachment names"}
+    hosts = exfil.extra_hosts()
 
     def rows(batches):
+        exfil.use(hosts)
         for batch in batches:
             out = []
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
