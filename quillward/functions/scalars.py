@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,6 @@ def mixed_script(text: Column) -> Column:
 
 def register(spark: SparkSession) -> SparkSession:
     """Makes the findings a table function and the sanitizer a function of SQL: text_findings(text, file_type), text_clean(text, file_type, mode)."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     from quillward.operators import sanitize, spans

@@ -27,8 +27,8 @@ def extra_hosts() -> list[str]:
     return [h for h in (x.strip().lower() for x in os.environ.get("TRUSTED_HOSTS_EXTRA", "").split(",")) if re.fullmatch(r"[a-z0-9.\-]+", h)]
 
 
-#: Trusted hosts of this process, fixed ones first; use() sets those that the driver was given.
-TRUSTED = frozenset(rules.TRUSTED_HOSTS)
+#: In a task, the trusted hosts that the driver was given; elsewhere those of this process.
+TRUSTED: frozenset[str] | None = None
 
 
 def use(hosts: list[str]) -> None:
@@ -85,7 +85,7 @@ def tier(host: str) -> str:
     ip = address(host)
     if ip is not None:
         return "ip-literal-private" if private(ip) else "ip-literal-public"
-    return "trusted-allowlist" if below(host, TRUSTED) else "unknown"
+    return "trusted-allowlist" if below(host, frozenset([*rules.TRUSTED_HOSTS, *extra_hosts()]) if TRUSTED is None else TRUSTED) else "unknown"
 
 
 def split_url(raw: str) -> tuple[str, str] | None:
