@@ -72,10 +72,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 SMALL = 256 << 20
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes that Spark expects a table to have."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small input over all cores, by one exchange of at most SMALL bytes; larger ones have row groups enough."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size_of(df) < SMALL else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

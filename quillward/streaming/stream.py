@@ -9,6 +9,7 @@ from quillward.functions import rules
 from quillward.functions.rules import CLASSES
 from quillward.operators import places, spans
 from quillward.plans.scan import summary
+from quillward.sources.corpus import size_of
 
 
 def scan_stream(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -38,6 +39,17 @@ def chunks(docs: DataFrame, size: int = spans.CHUNK, overlap: int = 2048) -> Dat
     return own.select("doc_id", "chunk", "start", piece.alias("piece"))
 
 
+#: Bytes of the input for each task that reads pieces.
+DEALT = 16 << 20
+
+
+def tasks_of(docs: DataFrame) -> int:
+    """Tasks among which pieces are dealt: by the size of the input, or the session's number where Spark does not know it."""
+    spark, size = docs.sparkSession, size_of(docs)
+    known = size // DEALT if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism * 2, known)
+
+
 def pieces(docs: DataFrame, size: int = spans.CHUNK, overlap: int = 2048) -> DataFrame:
     """(doc_id, chunk, start, own, text) of docs(doc_id, text): every text in pieces of size characters and what the next piece
     begins with; start and own are the place and the length in UTF-16 units of what only this piece has. The pieces
@@ -46,7 +58,7 @@ def pieces(docs: DataFrame, size: int = spans.CHUNK, overlap: int = 2048) -> Dat
     rows = docs.where("text is not null").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(parts)).alias("parts"))
     rows = rows.withColumn("sizes", F.transform("parts", places.units))
     shared = F.transform("parts", lambda x, i: F.struct(F.concat(x, F.substring(F.coalesce(F.get("parts", i + 1), F.lit("")), 1, overlap)).alias("text"), F.get("sizes", i).alias("own"), F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda a, b: a + b).alias("start")))
-    return rows.select("row", "doc_id", F.posexplode(shared).alias("chunk", "p")).select("row", "doc_id", "chunk", "p.*").repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
+    return rows.select("row", "doc_id", F.posexplode(shared).alias("chunk", "p")).select("row", "doc_id", "chunk", "p.*").repartition(tasks_of(docs))
 
 
 def chunked(docs: DataFrame, size: int = spans.CHUNK, overlap: int = 2048) -> DataFrame:
