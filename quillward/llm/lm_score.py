@@ -55,6 +55,23 @@ _MARK &= ~_WORD
 _MARK[65:91] = False
 
 
+def marks_of(data: np.ndarray, offsets: np.ndarray):
+    """common.word_hashes of the marks; where they are few, from their own bytes alone."""
+    at = np.flatnonzero(_MARK[data])
+    if not len(at) or 4 * len(at) > len(data):
+        return common.word_hashes(data, offsets, _MARK, _PLAIN)
+    begins = np.ones(len(at), bool)
+    begins[1:] = at[1:] != at[:-1] + 1
+    place = np.searchsorted(at, offsets[:-1])
+    begins[place[at[np.minimum(place, len(at) - 1)] == offsets[:-1]]] = True
+    first = np.flatnonzero(begins)
+    start = at[first]
+    into = at - np.repeat(start, np.diff(first, append=len(at)))
+    with np.errstate(over="ignore"):
+        value = np.add.reduceat(common._BYTE_KEYS[data[at]] * common._power(common._BASE, int(into.max()) + 1)[into], first)
+    return common.mix64(value), np.searchsorted(offsets, start, side="right") - 1, start
+
+
 def words_of(column: pa.Array):
     """Per chunk of rows: token keys (odd for words, even for marks) and row offsets into them."""
     data, offsets = common.raw_bytes(column)
@@ -62,7 +79,7 @@ def words_of(column: pa.Array):
         a = offsets[i]
         part, off = data[a : offsets[j]], offsets[i : j + 1] - a
         key, row, start = common.word_hashes(part, off, _WORD, _FOLD)
-        mark, mark_row, mark_at = common.word_hashes(part, off, _MARK, _PLAIN)
+        mark, mark_row, mark_at = marks_of(part, off)
         order = np.argsort(np.concatenate([start, mark_at]), kind="stable")
         keys = np.concatenate([key | np.uint64(1), mark & ~np.uint64(1)])[order]
         rows = np.concatenate([row, mark_row])[order]
@@ -135,7 +152,7 @@ class WindowNetwork:
     def __init__(self, vocabulary: Vocabulary, hidden: int, seed: int):
         rng = np.random.default_rng(seed)
         normal = lambda *shape: rng.normal(0, 0.1, shape)
-        self.members = vocabulary.members
+        self.members, self.rooms = vocabulary.members, {}
         self.params = [normal(4, vocabulary.edge + 1, hidden).astype(np.float32), np.zeros(hidden, np.float32), normal(hidden, len(vocabulary.prior)), vocabulary.prior.copy(), normal(CLASSES, hidden, MEMBERS), np.zeros((CLASSES, MEMBERS))]
 
     def flat(self) -> np.ndarray:
@@ -147,73 +164,106 @@ class WindowNetwork:
             self.params[i] = flat[at : at + p.size].reshape(p.shape).astype(p.dtype)
             at += p.size
 
+    def room(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        """An array that the next batch uses again: a worker's memory faults in anew with every large array."""
+        n = math.prod(shape)
+        if name not in self.rooms or self.rooms[name].size < n:
+            self.rooms[name] = np.empty(n, kind)
+        return self.rooms[name][:n].reshape(shape)
+
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
         embed, bias = self.params[:2]
-        total = embed[0][ctx[0]] + embed[1][ctx[1]]
-        total += embed[2][ctx[2]]
-        total += embed[3][ctx[3]]
+        total, more = (self.room(x, ctx.shape[1], len(bias)) for x in ("hidden", "more"))
+        np.take(embed[0], ctx[0], axis=0, out=total, mode="clip")  # rows are in range; other modes copy
+        for k in (1, 2, 3):
+            total += np.take(embed[k], ctx[k], axis=0, out=more, mode="clip")
         total += bias
         return np.tanh(total, out=total)
 
     @staticmethod
     def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log softmax(z)[at] of each column. Products come in doubles, so rounding to floats is the same in any batch."""
-        z = np.minimum(z, 80, dtype=np.float32, casting="unsafe")
+        """log softmax(z)[at] of each column of floats; z is used up."""
         own = z[at, np.arange(len(at))].astype(np.float64)
         return own - np.log(np.exp(z, out=z).sum(0)).astype(np.float64)
 
     def log_p(self, ctx: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
-        """log p(class | neighbours), and of the member where the class is of single tokens."""
+        """log p(class | neighbours), and of the member where the class is of single tokens.
+
+        Products come in doubles, so rounding to floats is the same in any batch. Tokens go by class, so that the members
+        of all classes are one table; only its products are made class by class.
+        """
         out = np.empty(len(cls))
         _, _, top, prior, inner, bias = self.params
+        rounded = lambda z, to: np.minimum(z, 80, out=to, casting="unsafe")
         for i in range(0, len(cls), 16384):
-            c, h = cls[i : i + 16384], self.hidden(ctx[:, i : i + 16384]).astype(np.float64)
-            logp = self.log_softmax(top.T @ h.T + prior[:, None], c)
-            order = np.argsort(c.astype(np.int16), kind="stable")
-            ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
+            order = np.argsort(cls[i : i + 16384].astype(np.int16), kind="stable")
+            c, order = cls[i : i + 16384].take(order), order + i
+            h = self.room("doubles", len(c), len(top), kind=np.float64)
+            h[...] = self.hidden(ctx.take(order, axis=1))
+            z = np.matmul(top.T, h.T, out=self.room("products", len(prior), len(c), kind=np.float64))
+            z += prior[:, None]
+            logp = self.log_softmax(rounded(z, self.room("classes", len(prior), len(c))), c)
+            ends = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+            z = self.room("members", MEMBERS, ends[-1])
             for k in range(CLASSES):
-                rows = order[ends[k] : ends[k + 1]]
-                if len(rows):
-                    logp[rows] += self.log_softmax(inner[k].T @ h[rows].T + (bias[k] + self.members[k])[:, None], member[i + rows])
-            out[i : i + 16384] = logp
+                if ends[k] < ends[k + 1]:
+                    rounded(inner[k].T @ h[ends[k] : ends[k + 1]].T + (bias[k] + self.members[k])[:, None], z[:, ends[k] : ends[k + 1]])
+            logp[: ends[-1]] += self.log_softmax(z, member.take(order[: ends[-1]]))
+            out[order] = logp
         return out
 
     def step(self, ctx: np.ndarray, cls: np.ndarray, member: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step on a batch; sums: of squared gradients."""
         embed, _, top, prior, inner, bias = self.params
         n, order = len(cls), np.argsort(cls.astype(np.int16), kind="stable")
-        ctx, cls, member = ctx[:, order], cls[order], member[order]
+        ctx, cls, member = ctx.take(order, axis=1), cls.take(order), member.take(order)
         h = np.ascontiguousarray(self.hidden(ctx).T)
 
         def error(z, at):
             z -= z.max(0)
             np.exp(z, out=z)
-            z /= z.sum(0)
-            z[at, np.arange(len(at))] -= 1
-            z /= n
+            z *= (1 / n) / z.sum(0)
+            z[at, np.arange(len(at))] -= np.float32(1 / n)
             return z
 
-        def move(param, total, g, where=...):
-            total[where] = now = total[where] + g * g
-            param[where] -= rate * g / np.sqrt(now + 1e-8)
+        def move(param, total, g):
+            g, scale = np.asarray(g, param.dtype), self.room(f"move {param.shape}", *param.shape, kind=param.dtype)
+            total += np.multiply(g, g, out=scale)
+            np.add(total, 1e-8, out=scale)
+            np.sqrt(scale, out=scale)
+            np.divide(g, scale, out=scale)
+            scale *= rate
+            param -= scale
 
         w = top.astype(np.float32)
-        e = error(w.T @ h + prior.astype(np.float32)[:, None], cls)
-        dh, gradients = w @ e, [(2, h @ e.T, ...), (3, e.sum(1), ...)]
+        e = np.matmul(w.T, h, out=self.room("classes", len(prior), n))
+        e += prior.astype(np.float32)[:, None]
+        e = error(e, cls)
+        dh, gradients = w @ e, [(2, h @ e.T), (3, e.sum(1))]
         w, b = inner.astype(np.float32), (bias + self.members).astype(np.float32)
-        ends = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            rows = slice(ends[k], ends[k + 1])
-            e = error(w[k].T @ h[:, rows] + b[k][:, None], member[rows])
-            dh[:, rows] += w[k] @ e
-            gradients += [(4, h[:, rows] @ e.T, k), (5, e.sum(1), k)]
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        some = [(k, slice(ends[k], ends[k + 1])) for k in range(CLASSES) if ends[k] < ends[k + 1]]
+        z = self.room("members", MEMBERS, ends[-1])  # of the members of all classes, whose tokens stand side by side
+        for k, rows in some:
+            np.add(w[k].T @ h[:, rows], b[k][:, None], out=z[:, rows])
+        e = error(z, member[: ends[-1]])
+        g, gb = np.zeros_like(inner), np.zeros_like(bias)
+        for k, rows in some:
+            dh[:, rows] += w[k] @ e[:, rows]
+            g[k], gb[k] = h[:, rows] @ e[:, rows].T, e[:, rows].sum(1)
         dh *= 1 - h * h
-        for i, g, where in [*gradients, (1, dh.sum(1), ...)]:
-            move(self.params[i], sums[i], g, where)
-        place = (ctx + np.arange(4)[:, None] * embed.shape[1]).ravel()
-        some = np.flatnonzero(np.bincount(place))
-        g = np.stack([np.bincount(place, np.tile(x, 4))[some] for x in dh.astype(np.float64)], axis=1).astype(np.float32)
-        move(embed.reshape(-1, len(h)), sums[0].reshape(-1, len(h)), g, some)
+        for i, g in [*gradients, (4, g), (5, gb), (1, dh.sum(1))]:
+            move(self.params[i], sums[i], g)
+        d, g = self.room("dh", *dh.shape, kind=np.float64), self.room("columns", len(h), *embed.shape[:2])
+        d[...] = dh
+        for k, x in enumerate(d):
+            for place in range(4):
+                g[k, place] = np.bincount(ctx[place], x, embed.shape[1])
+        rows = self.room("rows", *embed.shape)
+        for place in range(4):
+            for at in range(0, embed.shape[1], 1024):
+                rows[place, at : at + 1024] = g[:, place, at : at + 1024].T
+        move(embed, sums[0], rows)
 
 
 def _count_words(batches):
